@@ -45,7 +45,7 @@ BLOCKS = "|".join(
         rf"\n{ROW}\n{SEPARATOR}(?:\n{ROW})*+",
         rf"\n{ITEM}[^\n]*(?:\n(?:[{SP}]*\n)*+(?:{ITEM}|[{SP}]{{2,}}{_NONSPACE})[^\n]*)*+",
         rf"(?:\n[{SP}]*+{_NONSPACE}[^\n]*)++",
-        rf"\n[{SP}]*+",
+        rf"(?:\n[{SP}]*+{_EOL})++",
     ]
 )
 SENTENCE_ENDS = r"。.?？!\n"
@@ -118,8 +118,16 @@ def heading_path(rows: DataFrame, key: str = "file_hash") -> DataFrame:
 
 
 def scan_blocks(docs: DataFrame, key: str = "file_hash", text: str = "text") -> DataFrame:
-    """CHK-4: (key, pos, kind, text, level, title, tile, char_start, char_end) with exact offsets."""
-    tiles = _tiles(docs, key, text, BLOCKS).filter(~T.is_blank(F.col("tile")))
+    """CHK-4: (key, pos, kind, text, level, title, tile, char_start, char_end) with exact offsets.
+
+    ``tile`` is the block with the blank lines after it, so that tiles in a row make up the source text.
+    """
+    after = F.lead("tile").over(Window.partitionBy(key).orderBy("pos"))
+    tiles = (
+        _tiles(docs, key, text, BLOCKS)
+        .withColumn("gap", F.when(T.is_blank(after), after).otherwise(""))
+        .filter(~T.is_blank(F.col("tile")))
+    )
     tile = F.col("tile")
     kind = (
         F.when(tile.rlike(r"\A\n(?:```|~~~)"), "code")
@@ -136,7 +144,7 @@ def scan_blocks(docs: DataFrame, key: str = "file_hash", text: str = "text") ->
         key, "pos", "kind", "text",
         F.when(is_heading, heading_level(F.col("text"))).alias("level"),
         F.when(is_heading, heading_title(F.col("text"))).alias("title"),
-        "tile", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"),
+        F.concat("tile", "gap").alias("tile"), "char_start", (F.col("char_start") + F.length("text")).alias("char_end"),
     )
 
 
