@@ -32,7 +32,7 @@ def summary_input(chunks: DataFrame, max_chars: int = INPUT_CHARS) -> DataFrame:
     """
     before = Window.partitionBy("file_hash").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
-    lead = chunks.select("file_hash", "chunk_index", "content", start.alias("_start")).filter(F.col("_start") < max_chars)
+    lead = chunks.select("file_hash", "chunk_index", "content", start.alias("_start")).filter(F.col("_start") <= max_chars)
     listed = lead.groupBy("file_hash").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))
     return listed.select("file_hash", F.substring(F.array_join(F.transform("c", lambda c: c["content"]), "\n"), 1, max_chars).alias("input"))
 

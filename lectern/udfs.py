@@ -134,3 +134,46 @@ def score_pairs(fn: PairScorer) -> Callable[[Column, Column], Column]:
         return pd.Series(list(fn(list(query), list(text))), dtype="float64")
 
     return run
+
+
+Extractor = Callable[[bytes], str]
+
+
+def _extract_text(content: bytes) -> str:
+    return content.decode("utf-8-sig", errors="replace")
+
+
+def _extract_html(content: bytes) -> str:
+    from .operators.assemble import markdown_of
+
+    return markdown_of(_extract_text(content))
+
+
+EXTRACTORS: dict[str, Extractor] = {"md": _extract_text, "txt": _extract_text, "html": _extract_html, "htm": _extract_html}
+
+
+def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """UDF-1: files (file_path, ext, content) to (file_path, file_hash, file_size, text, outcome, error), map-only.
+
+    Extractors are looked up by extension in any case; an unknown extension or a failing parser is a row with
+    outcome ``error``, never a failed job.
+    """
+    by_ext = {k.lower(): f for k, f in (EXTRACTORS if extractors is None else extractors).items()}
+
+    def one(ext: str, content: bytes) -> tuple[str | None, str, str | None]:
+        fn = by_ext.get(ext.lower())
+        if fn is None:
+            return None, "error", f"no extractor for .{ext}"
+        try:
+            return fn(content), "ok", None
+        except Exception as e:  # noqa: BLE001 - reported as a row
+            return None, "error", str(e)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [one(x, c) for x, c in zip(batch["ext"], batch["content"])]
+            out = pd.DataFrame(done, columns=["text", "outcome", "error"], index=batch.index)
+            yield pd.concat([batch[["file_path", "file_hash", "file_size"]], out], axis=1)
+
+    hashed = files.select("file_path", "ext", "content", F.sha2("content", 256).alias("file_hash"), F.octet_length("content").cast("bigint").alias("file_size"))
+    return hashed.mapInPandas(run, "file_path string, file_hash string, file_size bigint, text string, outcome string, error string")
