@@ -356,3 +356,17 @@ def udf4(v: Views):
 
     out = v.turns.select("session_id", "pos", udfs.complete(backwards)(F.col("content")).alias("r"))
     return out.select("session_id", "pos", F.col("r.text").alias("answer"), "r.error")
+
+
+@query("udf2_embed_queries", "SELECT query_id, 64::BIGINT AS dims FROM v_q")
+def udf2(v: Views):
+    return udfs.embed_queries(v.q, "multilingual-e5-small", udfs.hashing_embedder()).select("query_id", F.size("qvec").alias("dims"))
+
+
+@query("udf3_score_pairs", "SELECT a.session_id, a.pos, len(a.question) / (1 + len(a.content)) AS score FROM v_questions a WHERE role = 'assistant'")
+def udf3(v: Views):
+    def ratio(queries: list[str], texts: list[str]) -> list[float]:
+        return [len(q) / (1 + len(t)) for q, t in zip(queries, texts)]
+
+    asked = conversations.question_of(v.turns)
+    return asked.select("session_id", "pos", udfs.score_pairs(ratio)(F.col("question"), F.col("content")).alias("score"))
