@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern import udfs
-from lectern.functions import text
-from lectern.operators import context, conversations, diff, fusion, lexical, vector
-from lectern.operators.scans import top_k
+from lectern.operators import context, conversations, fusion, lexical, vector
 from lectern.plans.search import chat_context, hybrid_search
+from lectern.session import cut_lineage
 
 from .registry import query
-from .views import SQL_VIEWS, WS, Views, scoped_sql, tokens_sql, trim_sql
+from .views import SQL_VIEWS, Views, tokens_sql, trim_sql
 
 DIGITS, RRF_DIGITS = 6, 9
 FULL = lexical.Bm25(digits=DIGITS)
@@ -124,8 +122,8 @@ def lex9b(v: Views):
 SELECT h.query_id, h.chunk_id, h.score, h.rank, string_agg(DISTINCT p.term, ' ' ORDER BY p.term) AS matched, any_value(c.heading_text) AS heading_text, any_value(replace(substr(c.content, 1, 200), chr(10), ' ')) AS snippet
 FROM v_lex_exact_hits h JOIN v_lex_exact_parts p USING (query_id, chunk_id) JOIN v_chunks c USING (chunk_id) GROUP BY ALL""")
 def lex10(v: Views):
-    hits = lexical.search_topk(v.q, v.postings, v.corpus, 50, PLAIN)
-    return lexical.explain_hits(hits, lexical.contributions(v.q, v.postings, v.corpus, PLAIN), v.chunks)
+    hits = cut_lineage(lexical.search_topk(v.q, v.postings, v.corpus, 50, PLAIN))
+    return lexical.explain_hits(hits, lexical.contributions(v.q, v.postings, v.corpus, hits, PLAIN), v.chunks)
 
 
 SQL_VIEWS["v_vec_hits"] = f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -232,11 +230,11 @@ SQL_VIEWS["v_hits"] = "SELECT r.*, c.* EXCLUDE (chunk_id) FROM v_rrf r JOIN v_ch
 
 
 def fused(v: Views):
-    return fusion.rrf(lexical.search_topk(v.q, v.postings, v.corpus, 50, PLAIN), vector_hits(v), digits=RRF_DIGITS)
+    return cut_lineage(fusion.rrf(lexical.search_topk(v.q, v.postings, v.corpus, 50, PLAIN), vector_hits(v), digits=RRF_DIGITS))
 
 
 def hits_of(v: Views):
-    return fusion.hydrate(fused(v), v.chunks)
+    return cut_lineage(fusion.hydrate(fused(v), v.chunks))
 
 
 @query("ret1_rrf", "SELECT * FROM v_rrf")
@@ -368,7 +366,7 @@ SQL_VIEWS["v_context"] = "SELECT * EXCLUDE (position), row_number() OVER (PARTIT
 
 
 def wide(v: Views):
-    return context.expand_neighbors(hits_of(v).filter(F.col("position") <= 15), v.chunks, 1)
+    return cut_lineage(context.expand_neighbors(hits_of(v).filter(F.col("position") <= 15), v.chunks, 1))
 
 
 @query("ret11_expand_neighbors", "SELECT query_id, chunk_id, file_path, is_hit, rrf_score, position FROM v_context")
@@ -442,7 +440,7 @@ SELECT query_id, chunk_id, file_hash, position, route FROM v_hits JOIN r USING (
 UNION ALL SELECT query_id, chunk_id, file_hash, row_number() OVER (PARTITION BY query_id ORDER BY position) AS p, route FROM g JOIN r USING (query_id) WHERE route = 'grouped' QUALIFY p <= 25
 UNION ALL SELECT query_id, file_hash || ':0', file_hash, rank, route FROM s JOIN r USING (query_id) WHERE route = 'summaries'""")
 def ret15b(v: Views):
-    found = summary_hits(v)
+    found = cut_lineage(summary_hits(v))
     routes = context.summary_route(v.q, found, keywords=ROUTE_WORDS)
     deep = hits_of(v).filter(F.col("position") <= context.SUMMARY_SEARCH_K)
     return context.routed_hits(routes, deep, found, v.chunks)
