@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a group over this is cut into buckets
 SLOTS = 256  # buckets per cut group
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 MAX_HOT = 1_000  # only the largest groups are cut: any other holds under 1/MAX_HOT of the rows
 
 
@@ -108,8 +109,12 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """First ``k`` rows per key with their 1-based rank.
 
     Spark puts a WindowGroupLimit before the exchange, so each task passes on at most ``k`` rows
-    per key: a hot key costs ``k`` times the number of tasks, not its size.
+    per key: a hot key costs ``k`` times the number of tasks, not its size. Spark does so up to a
+    threshold only (1000 by default), which is raised where ``k`` needs it.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < k:
+        conf.set(GROUP_LIMIT, str(k))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
