@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_ROWS = 1_000_000  # a group over this is cut into buckets
 SLOTS = 256  # buckets per cut group
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -57,7 +61,8 @@ def prefix_scan(
     sums   name -> expression: running sum up to and including the row
     lasts  name -> expression: last non-null value before the row
 
-    ``df`` is evaluated for the split points, for the totals of hot groups, and for the result.
+    The keys are probed first. Without a hot group the scan is one plain window; with one, ``df`` is read
+    once more for the bucket totals.
     """
     keys, order = list(keys), list(order)
     sums, lasts = dict(sums or {}), dict(lasts or {})
@@ -67,7 +72,16 @@ def prefix_scan(
     staged = df.select(
         "*", *[e.alias(f"_s_{n}") for n, e in sums.items()], *[e.alias(f"_l_{n}") for n, e in lasts.items()]
     )
-    cuts = _split_points(df.select(*keys, *order), keys, order, hot_rows)
+    cuts = cut_lineage(_split_points(df.select(*keys, *order), keys, order, hot_rows))
+    if small_enough(cuts, 0):
+        group = Window.partitionBy(*keys).orderBy(*order)
+        upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        above = group.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            *whole,
+            *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
+            *[F.last(e, ignorenulls=True).over(above).alias(n) for n, e in lasts.items()],
+        )
     key = _order_key(order)
     staged = staged.join(F.broadcast(cuts), keys, "left").withColumn(
         "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= key)), F.lit(0))
@@ -127,3 +141,33 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def broadcast_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting; a larger side is left to a shuffled, skew-handled join."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+class BestRows:
+    """The best ``k`` ids of each query over the batches of one task, ties by id: what the task passes on."""
+
+    def __init__(self, n_queries: int, k: int) -> None:
+        self.k = k
+        self.floor = np.full(n_queries, -np.inf)  # a later score below this cannot count
+        self.rows = pd.DataFrame({"q": np.array([], dtype="int64"), "chunk_id": [], "score": np.array([], dtype="float64")})
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray, above: float = -np.inf) -> None:
+        """``scores`` is queries by ids; only scores over ``above`` count."""
+        keep = (scores >= self.floor[:, None]) & (scores > above)
+        if scores.shape[1] > self.k:
+            at = scores.shape[1] - self.k
+            keep &= scores >= np.partition(scores, at, axis=1)[:, at][:, None]
+        q, c = np.nonzero(keep)
+        if not len(q):
+            return
+        new = pd.DataFrame({"q": q, "chunk_id": ids[c], "score": scores[q, c]})
+        pool = pd.concat([self.rows, new]) if len(self.rows) else new
+        best = pool.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q", sort=False)
+        self.rows = best.head(self.k)
+        full = self.rows.groupby("q", sort=False)["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+
+    def result(self, query_ids: np.ndarray) -> pd.DataFrame:
+        out = self.rows
+        return pd.DataFrame({"query_id": query_ids[out["q"].to_numpy()], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()})

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scans import broadcast_small, small_enough, top_k
+from .scans import BestRows, small_enough, top_k
 
 MAX_QUERY_BLOCK = 20_000  # queries whose vectors are shipped to the tasks at a time
 # Fixed values of embedding batches.
@@ -21,22 +21,16 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _scorer(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int | None):
-    """Per Arrow batch: scores of all queries by one matrix product, cut to the best k (and ties) of each."""
+    """Per Arrow batch: scores of all queries by one matrix product. A task passes on the best k of each query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = BestRows(len(ids), k)
         for batch in batches:
             if batch.empty:
                 continue
             scores = matrix @ np.stack(batch["vec"].to_numpy()).astype(np.float64).T
-            if digits is not None:
-                scores = np.round(scores, digits)
-            keep = scores
-            if scores.shape[1] > k:
-                floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                q, v = np.nonzero(scores >= floor[:, None])
-            else:
-                q, v = np.nonzero(np.ones_like(keep, dtype=bool))
-            yield pd.DataFrame({"query_id": ids[q], "chunk_id": batch["chunk_id"].to_numpy()[v], "score": scores[q, v]})
+            best.offer(scores if digits is None else np.round(scores, digits), batch["chunk_id"].to_numpy())
+        yield best.result(ids)
 
     return run
 
@@ -45,7 +39,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 50, *, digits:
     """VEC-1: ``k`` best dot products per query over (chunk_id, vec), for (query_id, qvec).
 
     Query vectors go to the tasks in blocks of a fixed size, so any number of queries works; each block is
-    one map-only pass over the vectors, and a task returns ``k`` rows per query and batch.
+    one map-only pass over the vectors, and a task returns ``k`` rows per query at most.
     """
     slices = 1 if small_enough(queries, block) else -(-queries.count() // (block // 2))
     out = None

@@ -25,14 +25,17 @@ def get_spark(app: str = "lectern", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``; None if it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the cluster's shared checkpoint folder.
+    """Materialise ``df`` reliably in the shared checkpoint folder; a lost executor loses none of it.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster. Only a session without it
-    (a local test) gets a temporary folder of its own.
+    Only a session that names no such folder (a local test) gets a temporary one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lectern-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="lectern-ckpt-"))
     return df.checkpoint()
