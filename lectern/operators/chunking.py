@@ -9,7 +9,7 @@ size limit (``scope.HARD_LIMIT``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -61,10 +61,10 @@ def _placed(docs: DataFrame, key: str) -> DataFrame:
     return docs.repartition(key)
 
 
-def _tiles(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, pos, tile, tile_start): the matches of ``pattern`` that tile "\\n" + text, with offsets into the text."""
+def _tiles(docs: DataFrame, key: str, text: str, pattern: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry, pos, tile, tile_start): the matches of ``pattern`` that tile "\\n" + text, with offsets into the text."""
     found = F.regexp_extract_all(F.concat(F.lit("\n"), F.col(text)), F.lit(pattern), F.lit(0))
-    rows = _placed(docs, key).select(key, F.posexplode(found).alias("pos", "tile"))
+    rows = _placed(docs, key).select(key, *carry, F.posexplode(found).alias("pos", "tile"))
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("tile_start", (F.coalesce(F.sum(F.length("tile")).over(before), F.lit(0)) - 1).cast("int"))
 
@@ -117,14 +117,14 @@ def heading_path(rows: DataFrame, key: str = "file_hash") -> DataFrame:
     return rows.withColumn("heading_path", F.array_compact(F.array(*steps)))
 
 
-def scan_blocks(docs: DataFrame, key: str = "file_hash", text: str = "text") -> DataFrame:
+def scan_blocks(docs: DataFrame, key: str = "file_hash", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """CHK-4: (key, pos, kind, text, level, title, tile, char_start, char_end) with exact offsets.
 
     ``tile`` is the block with the blank lines after it, so that tiles in a row make up the source text.
     """
     after = F.lead("tile").over(Window.partitionBy(key).orderBy("pos"))
     tiles = (
-        _tiles(docs, key, text, BLOCKS)
+        _tiles(docs, key, text, BLOCKS, carry)
         .withColumn("gap", F.when(T.is_blank(after), after).otherwise(""))
         .filter(~T.is_blank(F.col("tile")))
     )
@@ -141,7 +141,7 @@ def scan_blocks(docs: DataFrame, key: str = "file_hash", text: str = "text") ->
     out = tiles.withColumns({"kind": kind, "text": body, "char_start": F.col("tile_start") + lead})
     is_heading = F.col("kind") == "heading"
     return out.select(
-        key, "pos", "kind", "text",
+        key, *carry, "pos", "kind", "text",
         F.when(is_heading, heading_level(F.col("text"))).alias("level"),
         F.when(is_heading, heading_title(F.col("text"))).alias("title"),
         F.concat("tile", "gap").alias("tile"), "char_start", (F.col("char_start") + F.length("text")).alias("char_end"),
@@ -310,21 +310,25 @@ def attach_locator(chunks: DataFrame, locator_map: DataFrame, key: str = "file_h
 def chunk_documents(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), locator_map: DataFrame | None = None) -> DataFrame:
     """CHK-12: files (file_hash, file_path, source_id, text), one row per hash, to the ``chunks`` table.
 
-    One exchange, by file hash; every later window and grouping stays in that partition.
+    One exchange, by file hash; every later window and grouping stays in that partition, and a chunk's index
+    is its place in its file's list.
     """
     limit = config.max_tokens
-    blocks = sections(scan_blocks(files.select("file_hash", "text"))).withColumn("tokens", T.token_count(F.col("text")))
+    origin = ["file_path", *(["source_id"] if "source_id" in files.columns else [])]
+    blocks = sections(scan_blocks(files, carry=origin)).withColumn("tokens", T.token_count(F.col("text")))
     sentences = F.transform(
         sentence_pieces(F.col("text")), lambda s: F.struct(F.length(s).alias("size"), T.token_count(s).alias("tokens"))
     )
     listed = (
         blocks.withColumn("sentences", F.when(F.col("tokens") > limit, sentences))
-        .groupBy("file_hash", "section")
+        .groupBy("file_hash")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct("pos", "tile", "text", "kind", "tokens", "sentences", "char_start", "char_end"))
+                F.collect_list(
+                    F.struct("pos", "section", "heading_path", "tile", "text", "kind", "tokens", "sentences", "char_start", "char_end")
+                )
             ).alias("b"),
-            F.first("heading_path").alias("heading_path"),
+            *[F.first(c).alias(c) for c in origin],
         )
     )
     none = F.array().cast("array<struct<size: int, tokens: int>>")
@@ -333,12 +337,14 @@ def chunk_documents(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), l
         return F.transform("b", lambda x: F.transform(F.coalesce(x["sentences"], none), lambda s: s[name]))
 
     packed = listed.withColumn(
-        "spans", _pack_udf(limit)(F.transform("b", lambda x: x["tokens"]), per_sentence("tokens"), per_sentence("size"))
+        "spans", _pack_udf(limit)(
+            F.transform("b", lambda x: x["section"]), F.transform("b", lambda x: x["tokens"]), per_sentence("tokens"), per_sentence("size")
+        )
     )
 
-    def chunk(start: Column, body: Column, kinds: Column) -> Column:
+    def chunk(block: Column, start: Column, body: Column, kinds: Column) -> Column:
         return F.struct(
-            start.cast("int").alias("char_start"), (start + F.length(body)).cast("int").alias("char_end"), body.alias("body"), chunk_kind(kinds).alias("kind")
+            block["heading_path"].alias("heading_path"), start.cast("int").alias("char_start"), (start + F.length(body)).cast("int").alias("char_end"), body.alias("body"), chunk_kind(kinds).alias("kind")
         )
 
     def whole_blocks(span: Column) -> Column:
@@ -346,7 +352,8 @@ def chunk_documents(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), l
         start, end = F.get("b", span["first"])["char_start"], F.get("b", span["last"])["char_end"]
         joined = F.array_join(F.transform(run, lambda x: x["tile"]), "")
         body = _let(joined, lambda j: F.substr(j, _indent(j) + 1, end - start))
-        return _let(body, lambda t: F.array(chunk(start, t, F.transform(run, lambda x: x["kind"]))))
+        first = F.get("b", span["first"])
+        return _let(body, lambda t: F.array(chunk(first, start, t, F.transform(run, lambda x: x["kind"]))))
 
     def part_of_block(span: Column) -> Column:
         block = F.get("b", span["first"])
@@ -355,36 +362,30 @@ def chunk_documents(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), l
         def cut(part: Column) -> Column:
             windows = F.transform(
                 hard_windows(part, limit, config.overlap_tokens),
-                lambda w: chunk(at + w["rel_start"], F.substr(part, w["rel_start"] + 1, w["rel_end"] - w["rel_start"]), kinds),
+                lambda w: chunk(block, at + w["rel_start"], F.substr(part, w["rel_start"] + 1, w["rel_end"] - w["rel_start"]), kinds),
             )
-            return F.when(span["oversize"], windows).otherwise(F.array(chunk(at, part, kinds)))
+            return F.when(span["oversize"], windows).otherwise(F.array(chunk(block, at, part, kinds)))
 
         return _let(F.substr(block["text"], span["from"] + 1, span["to"] - span["from"]), cut)
 
     def pieces(span: Column) -> Column:
         return F.when(span["from"].isNull(), whole_blocks(span)).otherwise(part_of_block(span))
 
-    rows = packed.select("file_hash", "section", "heading_path", F.posexplode(F.flatten(F.transform("spans", pieces))).alias("_i", "c"))
-    numbered = rows.withColumn(
-        "chunk_index", (F.row_number().over(Window.partitionBy("file_hash").orderBy("section", "_i")) - 1).cast("int")
-    ).filter(F.col("chunk_index") < MAX_CHUNKS_PER_FILE)
+    rows = packed.select("file_hash", *origin, F.posexplode(F.flatten(F.transform("spans", pieces))).alias("chunk_index", "c"))
     content = T.trim_ws(F.col("c.body"))
-    chunks = numbered.select(
+    chunks = rows.filter(F.col("chunk_index") < MAX_CHUNKS_PER_FILE).select(
         F.concat_ws(":", "file_hash", F.col("chunk_index").cast("string")).alias("chunk_id"),
-        "chunk_index", "file_hash", "heading_path", T.heading_text(F.col("heading_path")).alias("heading_text"),
+        "chunk_index", "file_hash", *origin, "c.heading_path", T.heading_text(F.col("c.heading_path")).alias("heading_text"),
         content.alias("content"), T.content_hash(content).alias("content_hash"), T.token_count(content).alias("token_count"),
         "c.char_start", "c.char_end", "c.kind",
     )
-    if locator_map is not None:
-        chunks = attach_locator(chunks, locator_map)
-    origin = files.select("file_hash", "file_path", *(["source_id"] if "source_id" in files.columns else []))
-    return chunks.join(origin, "file_hash")
+    return chunks if locator_map is None else attach_locator(chunks, locator_map)
 
 
 def _pack_udf(limit: int):
-    """Spans over a section's blocks: runs of whole blocks, or for a block over the limit runs of its sentences."""
+    """Spans over a file's blocks: runs of whole blocks of a section, or for a block over the limit runs of its sentences."""
 
-    def spans(tokens, sentence_tokens, sentence_sizes) -> list[dict]:
+    def spans(section, tokens, sentence_tokens, sentence_sizes) -> list[dict]:
         out: list[dict] = []
         held: list[int] = []
 
@@ -396,6 +397,8 @@ def _pack_udf(limit: int):
             held.clear()
 
         for i, n in enumerate(tokens):
+            if held and section[held[-1]] != section[i]:
+                close()
             if n <= limit:
                 held.append(i)
                 continue
@@ -409,7 +412,7 @@ def _pack_udf(limit: int):
         return out
 
     @F.pandas_udf("array<struct<first: int, last: int, from: int, to: int, oversize: boolean>>")
-    def pack(tokens: pd.Series, sentence_tokens: pd.Series, sentence_sizes: pd.Series) -> pd.Series:
-        return pd.Series([spans(*row) for row in zip(tokens, sentence_tokens, sentence_sizes)])
+    def pack(section: pd.Series, tokens: pd.Series, sentence_tokens: pd.Series, sentence_sizes: pd.Series) -> pd.Series:
+        return pd.Series([spans(*row) for row in zip(section, tokens, sentence_tokens, sentence_sizes)])
 
     return pack
