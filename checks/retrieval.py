@@ -207,7 +207,7 @@ def vec8(v: Views):
             raise ValueError("refused")
         return plain(texts)
 
-    vectors, failed = vector.split_failures(udfs.embed_documents(v.chunks.withColumn("content", F.substring("content", 1, 2048)), "m", picky))
+    vectors, failed = vector.split_failures(udfs.embed_documents(v.chunks, "m", picky))
     done = vectors.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_vectors"), F.lit(False).alias("failed"))
     return done.unionByName(failed.select("file_hash", F.lit(0).alias("n_vectors"), F.lit(True).alias("failed")))
 

@@ -117,6 +117,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times carry no zone
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scope
-from .scans import HOT_ROWS, prefix_scan, top_k
+from ..session import cut_lineage
+from .scans import HOT_ROWS, broadcast_small, prefix_scan, top_k
 
 CHUNKING_VERSION = 1
 # Fixed values of change application: newest errors kept, and the gate on the error rate.
@@ -97,10 +98,12 @@ def diff_snapshots(old: DataFrame, new: DataFrame, in_scope: Column | None = Non
         "source_mtime",
         "file_size",
     )
-    gone = both.filter(F.col("in_new").isNull()).select(
+    # paths on one side only: few after the first run, and looked at twice more
+    loose = cut_lineage(both.filter(F.col("in_old").isNull() | F.col("in_new").isNull()))
+    gone = loose.filter(F.col("in_new").isNull()).select(
         "file_path", F.col("old_hash").alias("file_hash"), F.col("old_mtime").alias("source_mtime"), F.col("old_size").alias("file_size")
     )
-    arrived = both.filter(F.col("in_old").isNull()).select("file_path", F.col("new_hash").alias("file_hash"), "source_mtime", "file_size")
+    arrived = loose.filter(F.col("in_old").isNull()).select("file_path", F.col("new_hash").alias("file_hash"), "source_mtime", "file_size")
     moved = pair_renames(gone, arrived, hot_rows).select(
         F.when(F.col("new_path").isNull(), "DELETED")
         .when(F.col("old_path").isNull(), "NEW_PATH")
@@ -124,7 +127,7 @@ def stale_versions(content: DataFrame, expected: DataFrame, ext: str = "ext") ->
     known = expected.select(F.col("ext").alias(ext), "expected_version")
     stale = F.col("status").isin("ok", "error") & (F.col("parser_version") != F.col("expected_version"))
     return (
-        content.join(F.broadcast(known), ext, "left")
+        content.join(broadcast_small(known), ext, "left")
         .withColumn("is_current", ~F.coalesce(stale, F.lit(False)))
         .drop("expected_version")
     )

@@ -94,3 +94,11 @@ def test_stream_frames_and_names(spark):
     taken = spark.createDataFrame([("a.md",), ("a (3).md",)], "name string")
     assert {(r.o, r.unique_name) for r in conversations.dedupe_names(names, taken, "o").collect()} == {(1, "a (2).md"), (2, "a (4).md"), (3, "b.md")}
     assert schemas.CHUNKS["locator"].dataType == schemas.LOCATOR
+
+
+def test_compaction_keeps_the_latest_and_the_old_version(spark, tmp_path):
+    log = spark.createDataFrame([("a", "h1", 1, False), ("a", "h2", 2, False), ("b", "h3", 1, False), ("b", "h3", 3, True)], "file_path string, file_hash string, seq long, tombstone boolean")
+    first = sources.write_version(log, str(tmp_path), 1)
+    second = sources.write_version(sources.compact(spark.read.schema(log.schema).parquet(first), "file_path"), str(tmp_path), 2)
+    assert [(r.file_path, r.file_hash) for r in spark.read.schema(log.schema).parquet(second).collect()] == [("a", "h2")]
+    assert spark.read.schema(log.schema).parquet(first).count() == 4
