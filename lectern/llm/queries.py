@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, fingerprint, language, mixing, packing, toxicity
+from . import chat, dedup, fingerprint, language, mixing, near, packing, toxicity
 from .base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents"))
 
 
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
