@@ -34,7 +34,7 @@ class Settings:
     buckets: int = 1 << 18
     dim: int = 4
     span: int = 6  # words of a passage
-    per_label: int = 2_500  # about so many documents of each label are learned from
+    per_label: int = 1_800  # about so many documents of each label are learned from
     per_doc: int = 24  # passages of a document that a round takes at random, on average
     rounds: int = 9
     epochs: int = 1
@@ -42,8 +42,14 @@ class Settings:
     threshold: float = 0.3
 
 
-def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], buckets: int, part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all words, word by word, and where each word begins."""
+    found = [_subwords(words[i : i + part], buckets) for i in range(0, len(words), part)]
+    before = np.cumsum([0, *(len(code) for code, _ in found)])
+    return np.concatenate([code for code, _ in found]), np.concatenate([begin + n for (_, begin), n in zip(found, before)])
+
+
+def _subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     marked = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     ends = np.cumsum(lengths)
@@ -57,7 +63,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         inside = left[: len(value)] >= n
         mixed = (value[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        codes.append((mixed >> np.uint64(40)).astype(np.int64) % buckets)
+        codes.append(((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32))
         owners.append(owner[: len(value)][inside])
     owner, code = np.concatenate(owners), np.concatenate(codes)
     order = np.argsort(owner, kind="stable")
@@ -65,13 +71,13 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return code, np.searchsorted(owner, np.arange(len(words)))
 
 
-def passages(n_words: int, span: int) -> list[tuple[int, int]]:
-    """Spans of words that overlap by half and cover all."""
-    if n_words <= span:
-        return [(0, n_words)] if n_words else []
+def passages(n_words: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of each text that overlap by half and cover all: text and first word of each."""
     step = span // 2
-    starts = list(range(0, n_words - span, step)) + [n_words - span]
-    return [(s, s + span) for s in starts]
+    count = np.where(n_words > span, -(-(n_words - span) // step) + 1, (n_words > 0).astype(np.int64))
+    text = np.repeat(np.arange(len(n_words)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    return text, np.maximum(0, np.minimum(nth * step, n_words[text] - span))
 
 
 @dataclass(frozen=True)
@@ -87,22 +93,46 @@ class Model:
         counts = np.diff(np.append(begin, len(code)))
         return np.add.reduceat(self.weights[code], begin) / counts
 
-    def score(self, values: np.ndarray) -> float:
-        """The score of a document from its words' values."""
+    def top(self, values: np.ndarray) -> float:
+        """The highest logit among a document's passages, from its words' values."""
         n, span = len(values), self.settings.span
-        if not n:
-            return 0.0
         sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
         if n <= span:
-            best = sums[-1] / n
-        else:
-            starts = np.append(np.arange(0, n - span, span // 2), n - span)
-            best = ((sums[starts + span] - sums[starts]) / span).max()
-        return float(1 / (1 + np.exp(-np.clip(best + self.bias, -500, 500))))
+            return float(sums[-1] / n + self.bias)
+        starts = np.append(np.arange(0, n - span, span // 2), n - span)
+        return float(((sums[starts + span] - sums[starts]) / span).max() + self.bias)
+
+    def score(self, values: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.top(values), -500, 500)))) if len(values) else 0.0
+
+
+def train(texts: list[str], labels: list[int], settings: Settings = Settings(), clean_weight: float = 1.0) -> Model:
+    """Fit table and softmax on whole texts with labels 0 and 1, and the scale of the scores on every fifth text, kept apart.
+
+    ``clean_weight`` is how many clean documents one of the sample stands for, per toxic one.
+    """
+    apart = np.arange(len(texts)) % 5 == 4
+    model = _fit([t for t, a in zip(texts, apart) if not a], [y for y, a in zip(labels, apart) if not a], settings)
+    tops = np.array([model.top(model.of_words(ws)) if (ws := WORD.findall(t.lower())) else model.bias for t in np.array(texts, object)[apart]])
+    y = np.array(labels)[apart]
+    if not 0 < y.sum() < len(y):
+        return model
+    # logistic regression of the label on a document's highest logit, with smoothed labels
+    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    weight = np.where(y == 1, 1.0, clean_weight)
+    x = np.stack([tops, np.ones(len(tops))], axis=1)
+    fit = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+        grad = x.T @ (weight * (p - goal)) + np.array([0.01 * (fit[0] - 0.5), 0])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.01, 1e-6])
+        fit = fit - np.clip(np.linalg.solve(hess, grad), -1, 1)
+    slope = max(float(fit[0]), 0.01)
+    return Model(model.weights * np.float32(slope), float(model.bias * slope + fit[1]), settings)
 
 
-def train(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
-    """Fit table and softmax on whole texts with labels 0 and 1.
+def _fit(texts: list[str], labels: list[int], settings: Settings) -> Model:
+    """Table and softmax.
 
     Each round takes some passages of every document at random and, from the second on, those that the model ranks highest:
     in a toxic document they are what is toxic, in a clean one the hardest examples. The table starts at zero, so an n-gram
@@ -111,32 +141,31 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
     s, rng = settings, np.random.default_rng(7)
     empty = Model(np.zeros(s.buckets, np.float32), -1e9, s)
     ids: dict[str, int] = {}
-    rows, row_doc = [], []
-    for doc, text in enumerate(texts):
-        words = [ids.setdefault(w, len(ids)) for w in WORD.findall(text.lower())]
-        for a, b in passages(len(words), s.span):
-            rows.append(words[a:b] + [-1] * (s.span - (b - a)))
-            row_doc.append(doc)
-    if not rows:
-        return empty
-    row_doc, windows = np.array(row_doc), np.array(rows, np.int64)
-    label = np.array(labels)[row_doc]
+    words_of = [np.array([ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
+    n_words = np.array([len(w) for w in words_of], np.int64)
+    row_doc, at_word = passages(n_words, s.span)
+    label = np.array(labels, np.int64)[row_doc] if len(row_doc) else np.zeros(0, np.int64)
     if len(set(label.tolist())) < 2:
         return empty
-    present = (windows >= 0).astype(np.float32)
-    length = present.sum(axis=1)
+    flat = np.concatenate([*words_of, np.full(s.span, -1, np.int32)])
+    del words_of
+    length = np.minimum(n_words[row_doc], s.span)
+    start = at_word + (np.cumsum(n_words) - n_words)[row_doc]
     code, begin = subwords(list(ids), s.buckets)
     counts = np.diff(np.append(begin, len(code)))
-    used, slot = np.unique(code, return_inverse=True)
+    used, slot = np.unique(code.astype(np.int32), return_inverse=True)
+    slot = slot.astype(np.int32)
+    del code
     table, out = np.zeros((len(used), s.dim), np.float32), rng.normal(0, 0.5, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     table_sq, out_sq = np.full(len(used), 1e-8, np.float32), 1e-8
-    first, size = np.flatnonzero(np.r_[True, row_doc[1:] != row_doc[:-1]]), len(windows)
+    first, size = np.flatnonzero(np.r_[True, row_doc[1:] != row_doc[:-1]]), len(row_doc)
     per_doc = np.diff(np.append(first, size))
 
     def logits() -> np.ndarray:
         word = np.add.reduceat((table @ (out[:, 1] - out[:, 0]))[slot], begin) / counts
-        return (np.append(word, 0)[windows] * present).sum(axis=1) / length + bias[1] - bias[0]
+        sums = np.concatenate([[0.0], np.cumsum(np.append(word, 0)[flat])])
+        return (sums[start + length] - sums[start]) / length + bias[1] - bias[0]
 
     for turn in range(s.rounds):
         few = rng.random(size) < np.repeat(s.per_doc / per_doc, per_doc)
@@ -151,7 +180,8 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
             rng.shuffle(pool)
             for at in range(0, len(pool), 256):
                 batch = pool[at : at + 256]
-                w = windows[batch]
+                present = np.arange(s.span) < length[batch][:, None]
+                w = np.where(present, flat[start[batch][:, None] + np.arange(s.span)], -1)
                 words, back = np.unique(w, return_inverse=True)
                 back, real = back.reshape(w.shape), words >= 0
                 wid = words[real]
@@ -159,15 +189,15 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
                 grams = slot[np.arange(counts[wid].sum()) + np.repeat(begin[wid] - starts, counts[wid])]
                 vectors = np.zeros((len(words), s.dim), np.float32)
                 vectors[real] = np.add.reduceat(table[grams], starts) / counts[wid][:, None]
-                share = present[batch] / length[batch][:, None]
+                share = (present / length[batch][:, None]).astype(np.float32)
                 mean = (vectors[back] * share[:, :, None]).sum(axis=1)
                 z = mean @ out + bias
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(batch)), label[batch]] -= 1
                 p *= np.where(label[batch] == 1, share_toxic, 1.0)[:, None] / len(batch)
-                flat = (share[:, :, None] * (p @ out.T)[:, None, :]).reshape(-1, s.dim)
-                d_word = np.stack([np.bincount(back.ravel(), flat[:, k], len(words)) for k in range(s.dim)], axis=1)[real]
+                pull = (share[:, :, None] * (p @ out.T)[:, None, :]).reshape(-1, s.dim)
+                d_word = np.stack([np.bincount(back.ravel(), pull[:, k], len(words)) for k in range(s.dim)], axis=1)[real]
                 per_gram = np.repeat(d_word / counts[wid][:, None], counts[wid], axis=0)
                 touched, where = np.unique(grams, return_inverse=True)
                 d_table = np.stack([np.bincount(where, per_gram[:, k], len(touched)) for k in range(s.dim)], axis=1).astype(np.float32)
@@ -182,18 +212,35 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
     return Model(weights, float(bias[1] - bias[0]), s)
 
 
+class Scorer:
+    """Scores whole texts; remembers the values of words."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {}
+
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        words = [WORD.findall((t or "").lower()) for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        known = self.known
+        new = list({w for ws in words for w in ws if w not in known})
+        for i in range(0, len(new), 50_000):
+            known.update(zip(new[i : i + 50_000], self.model.of_words(new[i : i + 50_000]).tolist()))
+        return [self.model.score(np.array([known[w] for w in ws])) for ws in words]
+
+
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
     """A model from the documents that ``labels`` (id, label) marks; a document marked both ways counts as toxic."""
     marks = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     marks = marks.groupBy("_id").agg(F.max("_label").alias("_label"))
     share = {r._label: settings.per_label / r["count"] for r in marks.groupBy("_label").count().collect()}  # two rows
     if len(share) < 2:
-        return train([], [], settings)
+        return _fit([], [], settings)
     place = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = marks.where(place < F.when(F.col("_label") == 1, share[1]).otherwise(share[0]))
     rows = docs.select(F.col(id_column).alias("_id"), text_of(F.col(text_column)).alias("_text")).join(F.broadcast(chosen), "_id")  # at most about 2 x per_label rows
     sample = rows.select("_text", "_label").orderBy(F.xxhash64("_text"), "_text", "_label").toPandas()
-    return train(sample["_text"].tolist(), sample["_label"].tolist(), settings)
+    return train(sample["_text"].tolist(), sample["_label"].tolist(), settings, share[1] / share[0])
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -202,17 +249,23 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ``buckets`` floats
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        score_of = Scorer(shared.value)
         for part in slices(batches, "text"):
-            words = [WORD.findall(t.lower()) for t in part.column("text").to_pylist()]
-            if len(known) > CACHED_WORDS:
-                known = {}
-            new = list({w for ws in words for w in ws if w not in known})
-            for i in range(0, len(new), 50_000):
-                known.update(zip(new[i : i + 50_000], model.of_words(new[i : i + 50_000]).tolist()))
-            scores = [model.score(np.array([known[w] for w in ws])) for ws in words]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(x >= model.settings.threshold) for x in scores], pa.int32())], names=["doc_id", "score", "predicted"]
-            )
+            scores = score_of(part.column("text").to_pylist())
+            flags = [int(x >= shared.value.settings.threshold) for x in scores]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], names=["doc_id", "score", "predicted"])
 
     return rows.mapInArrow(predict, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL("score double, predicted int").fields]))
+
+
+def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores below the threshold."""
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = Scorer(shared.value)
+        for part in slices(batches, text_column):
+            yield part.filter(pa.array([x < shared.value.settings.threshold for x in score_of(part.column(text_column).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
