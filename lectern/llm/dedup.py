@@ -202,3 +202,21 @@ def older_half(docs: DataFrame, id_column: str = "doc_id") -> Column:
     """True up to the middle between the smallest and the largest id: a snapshot taken before the rest arrived."""
     ends = docs.agg(F.min(id_column).alias("a"), F.max(id_column).alias("b")).first()
     return F.col(id_column) <= F.lit(0 if ends.a is None else ends.a + (ends.b - ends.a) // 2)
+
+
+def unique_rows(docs: DataFrame, is_snapshot: Column | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that stay; of rows that repeat with the same id and text, one."""
+    found = exact_duplicates(docs, is_snapshot, id_column, text_column)
+    named = found.select(_row_name(F.col("doc_id"), F.col("text_sha256")).alias("_row"), "kept")
+    by_row = cut_lineage(named.groupBy("_row").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone, twice = by_row.where("not kept").select("_row"), by_row.where("kept and n > 1").select("_row")
+    rows = docs.select("*", _row_name(F.col(id_column), F.sha2(normalised(F.col(text_column)), 256)).alias("_row"))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti")
+    if not twice.isEmpty():
+        rows = rows.join(twice, "_row", "left_anti").unionByName(rows.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return rows.select(*[rows[c] for c in docs.columns])
+
+
+def _row_name(doc_id: Column, digest: Column) -> Column:
+    return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), digest)

@@ -253,3 +253,12 @@ def near_duplicates(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     result = sets.select("d1", "d2", "id", "first").join(links, "id", "left")
     named = result.select("d1", "d2", F.col("id").alias("rep_id"), F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     return rows.select(F.col("id").alias("doc_id"), "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "class_id", "rep_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
+    """The rows of ``docs``, as they are, whose id is the smallest of their class; rows without an id pass, as no class can name them."""
+    found = near_duplicates(docs, p).where("doc_id is not null")
+    stays = F.max((F.col("doc_id") == F.col("class_id")) | (F.col("class_id") < -(1 << 61)))
+    gone = cut_lineage(found.groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id"))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
