@@ -51,7 +51,7 @@ WITH i AS (SELECT file_hash, substr(string_agg(content, chr(10) ORDER BY chunk_i
 SELECT file_hash, CASE WHEN NOT contains(input, 'http') THEN {trim_sql("string_split(input, '.')[1] || '.'")} END AS summary, CASE WHEN contains(input, 'http') THEN 'HTTP 400: refused' END AS error FROM i""")
 def sum4(v: Views):
     none = v.content.withColumn("summary", F.lit(None).cast("string"))
-    return summaries.backfill_summaries(none, v.chunks, first_sentence, "lead", concurrency=8).select("file_hash", "summary", "error")
+    return summaries.backfill_summaries(none, v.chunks, first_sentence, "lead", calls_at_a_time=8).select("file_hash", "summary", "error")
 
 
 @query("sum4_backfill_report", """
@@ -59,7 +59,7 @@ WITH i AS (SELECT file_hash, substr(string_agg(content, chr(10) ORDER BY chunk_i
 SELECT count(*) FILTER (NOT contains(input, 'http')) AS done, count(*) FILTER (contains(input, 'http')) AS failed, count(*) AS total, (SELECT count(*) FROM v_content) - count(*) AS skipped, max(CASE WHEN contains(input, 'http') THEN 'HTTP 400: refused' END) AS last_error FROM i""")
 def sum4b(v: Views):
     none = v.content.withColumn("summary", F.lit(None).cast("string"))
-    results = summaries.backfill_summaries(none, v.chunks, first_sentence, "lead", concurrency=8)
+    results = summaries.backfill_summaries(none, v.chunks, first_sentence, "lead", calls_at_a_time=8)
     return summaries.backfill_report(summaries.summary_candidates(none, v.chunks), results)
 
 
@@ -107,10 +107,12 @@ _KINDS = {"nb1": "summary", "nb2": "timeline", "nb3": "ppt"}
 @query("gen3_generation_prompt", f"""
 WITH m AS (SELECT notebook_id, string_agg('[' || index || '] ' || heading_text || ' — ' || file_path || chr(10) || content || chr(10), chr(10) ORDER BY index) AS materials, bool_or(truncated) AS truncated FROM v_fitted GROUP BY notebook_id),
 k AS ({" UNION ALL ".join(f"SELECT '{n}' AS notebook_id, '{k}' AS kind, '{generation.TEMPLATES[k].replace(chr(39), chr(39) * 2)}' AS template" for n, k in _KINDS.items())})
-SELECT notebook_id, kind, template || chr(10) || '{generation.CITE}' || chr(10) || chr(10) || '== 资料 ==' || chr(10) || materials AS system_prompt, '{generation.ASK}' AS user_prompt, truncated FROM m JOIN k USING (notebook_id)""")
+SELECT notebook_id, kind, template || chr(10) || '{generation.CITE}' || chr(10) || chr(10) || '{generation.MATERIALS}' || chr(10) || coalesce(materials, '{generation.NO_MATERIALS}') AS system_prompt, '{generation.ASK}' AS user_prompt, coalesce(truncated, false) AS truncated
+FROM (FROM k UNION ALL SELECT 'nb-empty', 'faq', '{generation.TEMPLATES["faq"].replace(chr(39), chr(39) * 2)}') LEFT JOIN m USING (notebook_id)""")
 def gen3(v: Views):
     kind = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
     requests = v.scoped.select("notebook_id").distinct().withColumn("kind", F.try_element_at(kind, F.col("notebook_id")))
+    requests = requests.unionByName(v.scoped.select(F.lit("nb-empty").alias("notebook_id"), F.lit("faq").alias("kind")).distinct())
     return generation.generation_prompt(generation.budget_prefix(corpus_of(v), 114_000), requests)
 
 
@@ -121,7 +123,18 @@ def outlines(v: Views):
     return lines.groupBy("file_hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "line"))), lambda x: x["line"]), "\n").alias("outline"))
 
 
-@query("gen4_parse_outlines")
+@query("gen4_parse_outlines", r"""
+WITH RECURSIVE l AS (SELECT file_hash, chunk_index AS i, content, token_count % 7 AS indent,
+    CASE WHEN chunk_index = 0 THEN 0 WHEN token_count % 7 % 2 = 1 THEN -2 ELSE token_count % 7 // 2 END AS d FROM v_chunks),
+w AS (
+  SELECT DISTINCT file_hash, (-1)::BIGINT AS i, []::BIGINT[] AS last_at, 0::BIGINT AS n, NULL::BIGINT AS node_id, NULL::BIGINT AS parent_id, NULL::BIGINT AS depth, NULL::VARCHAR AS text, NULL::VARCHAR AS error FROM l
+  UNION ALL
+  SELECT file_hash, i, CASE WHEN ok THEN last_at[1:dd] || [n] ELSE last_at END, n + ok::BIGINT, CASE WHEN ok THEN n END, CASE WHEN ok AND dd > 0 THEN last_at[dd] END, CASE WHEN ok THEN dd END,
+    CASE WHEN d = -2 THEN '- ' || content || ' [3][7]' ELSE content END,
+    CASE WHEN d = -2 THEN 'uneven indent' WHEN NOT ok THEN 'no item above it' WHEN d = 0 AND n > 0 THEN 'second root, put under the first' END
+  FROM (SELECT *, d >= 0 AND dd <= len(last_at) AS ok FROM (
+    SELECT l.file_hash, l.i, w.last_at, w.n, l.d, l.content, CASE WHEN l.d = 0 AND w.n > 0 THEN 1 ELSE l.d END::BIGINT AS dd FROM w JOIN l ON l.file_hash = w.file_hash AND l.i = w.i + 1)))
+SELECT file_hash, i + 1 AS line_no, node_id, parent_id, depth, text, error FROM w WHERE i >= 0""")
 def gen4(v: Views):
     out = generation.parse_outlines(outlines(v), "file_hash", "outline")
     return out.select("file_hash", "line_no", "node_id", "parent_id", "depth", "text", "error")
@@ -133,7 +146,7 @@ FROM (SELECT file_hash, chunk_index AS i, token_count % 7 AS indent FROM v_chunk
 def gen4b(v: Views):
     out = generation.parse_outlines(outlines(v), "file_hash", "outline")
     return out.groupBy("file_hash").agg(
-        F.countDistinct("line_no").alias("n_lines"), F.count_if(F.col("error").contains("multiple of 2")).alias("n_odd"), F.count_if(F.col("error").startswith("extra root")).alias("n_extra_roots")
+        F.countDistinct("line_no").alias("n_lines"), F.count_if(F.col("error") == "uneven indent").alias("n_odd"), F.count_if(F.col("error").startswith("second root")).alias("n_extra_roots")
     )
 
 
@@ -220,10 +233,10 @@ def cnv4(v: Views):
 
 
 @query("cnv5_note_markdown", rf"""
-SELECT session_id, pos, '# ' || CASE WHEN {trim_sql('question')} = '' THEN '(无对应问题)' ELSE {trim_sql('question')} END || chr(10) || chr(10) || '> ' || strftime(make_timestamp(pos * 1000000), '%Y-%m-%d %H:%M:%S') || ' — nb' || chr(10) || chr(10) || content
-  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 引用'
-  || chr(10) || chr(10) || '### [1] (无标题)' || chr(10) || chr(10) || '源文件: [[a.md]]' || chr(10) || '字符偏移: 0–' || pos || chr(10) || chr(10) || '> ' || substr(content, 1, 200)
-  || chr(10) || chr(10) || '### [2] A > B' || chr(10) || chr(10) || '源文件: [[b.md]]' || chr(10) || '字符偏移: 1–2' || chr(10) || chr(10) || '> ' || substr(question, 1, 200) || chr(10) AS note FROM v_questions WHERE role = 'assistant'""")
+SELECT session_id, pos, '# ' || CASE WHEN {trim_sql('question')} = '' THEN '(no question)' ELSE {trim_sql('question')} END || chr(10) || chr(10) || '> ' || strftime(make_timestamp(pos * 1000000), '%Y-%m-%d %H:%M:%S') || ' — nb' || chr(10) || chr(10) || content
+  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Sources'
+  || chr(10) || chr(10) || '### [1] (untitled)' || chr(10) || chr(10) || 'From [[a.md]], characters 0 to ' || pos || chr(10) || chr(10) || '> ' || substr(content, 1, 200)
+  || chr(10) || chr(10) || '### [2] A > B' || chr(10) || chr(10) || 'From [[b.md]], characters 1 to 2' || chr(10) || chr(10) || '> ' || substr(question, 1, 200) || chr(10) AS note FROM v_questions WHERE role = 'assistant'""")
 def cnv5(v: Views):
     asked = conversations.question_of(v.turns)
 

@@ -391,7 +391,7 @@ def ret13(v: Views):
 @query("ret14_chat_prompt", f"""
 WITH b AS (SELECT query_id, string_agg('[' || index || '] ' || heading_text || ' — ' || file_path || chr(10) || content || chr(10), chr(10) ORDER BY index) AS blocks FROM v_cited WHERE in_prompt GROUP BY query_id),
 t AS (SELECT substr(session_id, 2)::BIGINT AS query_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS past, count(*) AS n FROM v_turns WHERE role <> 'system' GROUP BY ALL)
-SELECT query_id, CASE WHEN len(text) > 250 THEN 'Answer briefly.' ELSE '{context.DEFAULT_SYSTEM_PROMPT}' END || chr(10) || chr(10) || '== 资料 ==' || coalesce(chr(10) || blocks, '') AS system_prompt,
+SELECT query_id, CASE WHEN len(text) > 250 THEN 'Answer briefly.' ELSE '{context.DEFAULT_SYSTEM_PROMPT}' END || chr(10) || chr(10) || '{context.MATERIALS}' || coalesce(chr(10) || blocks, '') AS system_prompt,
   coalesce(t.n, 0) + 2 AS n_messages, coalesce(past || chr(10), '') || 'user: ' || text AS dialogue
 FROM v_q LEFT JOIN b USING (query_id) LEFT JOIN t USING (query_id)""")
 def ret14(v: Views):

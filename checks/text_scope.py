@@ -130,12 +130,10 @@ def error_messages(v: Views):
 
 @query("txt12_classify_error", rf"""
 WITH m AS ({ERROR_SQL}), n AS (SELECT *, 
-  regexp_extract(msg, '(?is)token limit[:\s]+(\d+)[^\d]*requested[:\s]+(\d+)', ['a', 'b']) AS x,
-  regexp_extract(msg, '(?is)maximum context length is\s+(\d+).*?resulted in\s+(\d+)', ['a', 'b']) AS y,
-  regexp_extract(msg, '(?is)(?:token limit|maximum context length is|context length)[:\s]+(\d+)', 1) AS z FROM m)
+  try_cast(regexp_extract(msg, '(?i)\b(?:token limit|context length is|context length)\W+(\d+)', 1) AS BIGINT) AS model_limit,
+  try_cast(regexp_extract(msg, '(?i)\b(?:requested|resulted in)\W+(\d+)', 1) AS BIGINT) AS named FROM m)
 SELECT event_id, regexp_matches(msg, '(?is)token limit|maximum context length|context_length_exceeded|context length\b') AS is_token_limit,
-  coalesce(try_cast(x.a AS BIGINT), try_cast(y.a AS BIGINT), try_cast(z AS BIGINT)) AS model_limit,
-  coalesce(try_cast(x.b AS BIGINT), try_cast(y.b AS BIGINT)) AS requested,
+  model_limit, CASE WHEN model_limit IS NOT NULL THEN named END AS requested,
   regexp_matches(msg, '(?i)HTTP (429|502|503|504)|overload|rate.?limit|too many requests|engine.busy') AS is_retryable FROM n""")
 def txt12(v: Views):
     return error_messages(v).select("event_id", *[c.alias(n) for n, c in text.classify_error(F.col("msg")).items()])

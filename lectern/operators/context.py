@@ -11,10 +11,11 @@ from .scans import broadcast_small, top_k
 # Context budget, cost of a chunk's header, summary-mode limits.
 CONTEXT_TOKENS, HEADER_TOKENS = 32_000, 30
 SUMMARY_SEARCH_K, SUMMARY_PER_DOC, SUMMARY_DOC_LIMIT, SUMMARY_MIN_DOCS = 50, 1, 25, 5
-UNTITLED = "(无标题)"
+UNTITLED = "(untitled)"
+MATERIALS = "== Materials =="
 DEFAULT_SYSTEM_PROMPT = (
-    "You answer questions from the numbered materials below and from nothing else.\n"
-    "Mark every statement with the number [N] of its material, and say so when the materials are silent."
+    "Base the answer on the materials that follow; each has a number.\n"
+    "After a statement put the numbers it rests on in brackets, as [2]. If they do not hold the answer, tell the reader."
 )
 
 
@@ -102,7 +103,7 @@ def chat_prompt(cited: DataFrame, queries: DataFrame, history: DataFrame | None
     lead = F.when(custom.isNull() | text.is_blank(custom), DEFAULT_SYSTEM_PROMPT).otherwise(text.trim_ws(custom))
     out = queries.withColumn("_lead", lead).join(blocks, "query_id", "left")
     listed = F.transform(F.coalesce("blocks", F.array().cast(blocks.schema["blocks"].dataType)), lambda b: b["block"])
-    system = F.array_join(F.concat(F.array("_lead", F.lit(""), F.lit("== 资料 ==")), listed), "\n")
+    system = F.array_join(F.concat(F.array("_lead", F.lit(""), F.lit(MATERIALS)), listed), "\n")
     message = "array<struct<role: string, content: string>>"
     past = F.array().cast(message)
     if history is not None:

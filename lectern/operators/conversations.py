@@ -58,7 +58,7 @@ def question_of(turns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def note_markdown(question: Column, answer: Column, notebook: Column, ts: Column, citations: Column) -> Column:
     """CNV-5: an answer as a note; ``citations`` is an array of ``schemas.CITATION`` structs."""
     asked = text.trim_ws(question)
-    title = F.when(asked == "", "(无对应问题)").otherwise(asked)
+    title = F.when(asked == "", "(no question)").otherwise(asked)
     head = F.concat(
         F.lit("# "), title, F.lit("\n\n> "), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" — "), notebook, F.lit("\n\n"), answer
     )
@@ -67,13 +67,13 @@ def note_markdown(question: Column, answer: Column, notebook: Column, ts: Column
         heading = F.when(F.coalesce(c["heading_text"], F.lit("")) == "", UNTITLED).otherwise(c["heading_text"])
         return F.concat(
             F.lit("\n\n### ["), c["index"].cast("string"), F.lit("] "), heading,
-            F.lit("\n\n源文件: [["), c["file_path"], F.lit("]]\n字符偏移: "), c["char_start"].cast("string"), F.lit("–"), c["char_end"].cast("string"),
+            F.lit("\n\nFrom [["), c["file_path"], F.lit("]], characters "), c["char_start"].cast("string"), F.lit(" to "), c["char_end"].cast("string"),
             F.lit("\n\n> "), c["preview"],
         )
 
     # the index is the struct's first field, so sorting the array sorts by it
     listed = F.array_join(F.transform(F.array_sort(citations), entry), "")
-    tail = F.when(F.size(citations) > 0, F.concat(F.lit("\n\n---\n\n## 引用"), listed)).otherwise("")
+    tail = F.when(F.size(citations) > 0, F.concat(F.lit("\n\n---\n\n## Sources"), listed)).otherwise("")
     return F.concat(head, tail, F.lit("\n"))
 
 

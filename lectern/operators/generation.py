@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +14,17 @@ from .scans import HOT_ROWS, prefix_scan, top_k
 
 # Context window, what is kept back for answer and prompt, and the least budget.
 DEFAULT_CONTEXT, ANSWER_TOKENS, PROMPT_TOKENS, MIN_BUDGET = 128_000, 12_000, 2_000, 1_000
-CITE = "Cite materials by their number, as in [3]. Say so where the materials are silent; do not invent."
+CITE = "Behind each statement put the numbers of the materials it rests on, as [2]. Name what the materials leave open."
+MATERIALS, NO_MATERIALS = "== Materials ==", "(none)"
+# What an artifact is for, and the form that its parser or reader needs; callers may pass a table of their own.
 TEMPLATES = {
-    "summary": "Write a 300 to 500 word summary: one opening statement, three to five key points, one conclusion.",
-    "study-guide": "Write a study guide in markdown with 5 to 10 `##` chapters: core ideas, key terms, questions to think about.",
-    "timeline": "List the events as markdown, `- **time or stage** — event`, in order of time, or of argument without times.",
-    "faq": "Write 8 to 15 questions as `### Q: ...`, most important first, each with an answer of two to four sentences.",
-    "briefing": "Write an executive briefing: background, findings, risks, recommended actions.",
-    "mind-map": "Write one outline of `- ` items with a single root, two spaces per level, citations at line ends.",
-    "ppt": "Write slides in markdown, separated by lines of `---`, one heading and up to six points each.",
+    "summary": "Condense the materials so that a reader can do without them.",
+    "study-guide": "Turn the materials into a course for self-study. Markdown; every topic is a section headed by `##`.",
+    "timeline": "Put what happens in the materials in sequence. Markdown; every event is one `- ` item that begins with when it happens, in bold.",
+    "faq": "Ask what a newcomer to the materials would ask, and answer it. Markdown; every question is a heading by `###`.",
+    "briefing": "Tell someone who has to decide what they need to know from the materials, and what is at stake.",
+    "mind-map": "Arrange the ideas of the materials as a tree. One idea per line after `- `, two blanks more for each level down, all under one first line; numbers of materials only at the end of a line.",
+    "ppt": "Present the materials. Markdown slides with a line `---` between them; a slide has a heading and short points.",
 }
 ASK = "Generate it from the materials above."
 
@@ -60,8 +60,9 @@ def budget_prefix(corpus: DataFrame, budget: int, key: str = "notebook_id", orde
     return fits.withColumn("_kept", kept).join(sizes, key).withColumn("truncated", F.col("_kept") < F.col("_all")).drop("_kept", "_all")
 
 
-def generation_prompt(fitted: DataFrame, requests: DataFrame, key: str = "notebook_id") -> DataFrame:
-    """GEN-3: (notebook_id, kind, system_prompt, user_prompt, truncated) for requests (notebook_id, kind)."""
+def generation_prompt(fitted: DataFrame, requests: DataFrame, key: str = "notebook_id", templates: dict[str, str] | None = None) -> DataFrame:
+    """GEN-3: (notebook_id, kind, system_prompt, user_prompt, truncated), one per request (notebook_id, kind); a request
+    without material says so in its prompt."""
     block = material(F.col("index"), F.col("heading_text"), F.col("file_path"), F.col("content"))
     listed = (
         fitted.select(key, "index", "truncated", block.alias("block"))
@@ -69,64 +70,59 @@ def generation_prompt(fitted: DataFrame, requests: DataFrame, key: str = "notebo
         .agg(F.sort_array(F.collect_list(F.struct("index", "block"))).alias("b"), F.bool_or("truncated").alias("truncated"))
         .select(key, F.array_join(F.transform("b", lambda b: b["block"]), "\n").alias("materials"), "truncated")
     )
-    pairs = [F.lit(x) for kv in TEMPLATES.items() for x in kv]
+    pairs = [F.lit(x) for kv in (templates or TEMPLATES).items() for x in kv]
     template = F.try_element_at(F.create_map(*pairs), F.col("kind"))
-    return requests.join(listed, key).select(
-        key, "kind", F.concat(template, F.lit(f"\n{CITE}\n\n== 资料 ==\n"), "materials").alias("system_prompt"),
-        F.lit(ASK).alias("user_prompt"), "truncated",
+    return requests.join(listed, key, "left").select(
+        key, "kind", F.concat(template, F.lit(f"\n{CITE}\n\n{MATERIALS}\n"), F.coalesce("materials", F.lit(NO_MATERIALS))).alias("system_prompt"),
+        F.lit(ASK).alias("user_prompt"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )
 
 
-_ITEM = re.compile(r"( *)- +(\S.*?)\s*$")
-_TAIL = re.compile(r"(?:\s*\[\d+\])+\s*$")
-_OUTLINE = "node_id int, parent_id int, depth int, text string, citations array<bigint>, line_no int, error string"
+NOT_AN_ITEM, UNEVEN = -1, -2  # instead of a depth
+PLACED = "array<struct<node_id:int,parent_id:int,depth:int,error:string>>"
 
 
-def outline_rows(outline: str) -> Iterator[tuple]:
-    """Nodes and error rows of one outline; a node hangs under the latest accepted node one level up."""
-    open_nodes: list[int] = []
-    next_id = 0
-    for no, line in enumerate(re.split(r"\r?\n", outline), 1):
-        if not line.strip():
-            continue
-        item = _ITEM.match(line)
-        problem = None
-        if item is None:
-            problem = "skipped non-list text"
-        elif len(item[1]) % 2:
-            problem = f"indent {len(item[1])} is not a multiple of 2"
-        if problem:
-            yield None, None, None, line.strip(), None, no, problem
+def place_nodes(depths: Sequence[int]) -> list[dict]:
+    """Where each line of an outline goes, from the depths alone: under the last node one level up, as long as there is one.
+
+    There is one root. A further line at its level becomes its child, and is said to be.
+    """
+    last_at: list[int] = []  # the last node of each level that is still open
+    out, count = [], 0
+    for depth in depths:
+        row = {"node_id": None, "parent_id": None, "depth": None, "error": None}
+        out.append(row)
+        if depth < 0:
+            row["error"] = "no list item" if depth == NOT_AN_ITEM else "uneven indent"
             continue
-        depth = len(item[1]) // 2
-        tail = _TAIL.search(item[2])
-        label = (item[2][: tail.start()] if tail else item[2]).strip()
-        marks = [int(n) for n in re.findall(r"\[(\d+)\]", tail[0])] if tail else []
-        node, next_id = next_id, next_id + 1
-        if depth == 0 and open_nodes:
-            yield None, None, None, label, None, no, "extra root attached as child of first root"
-            depth = 1
-        if depth > len(open_nodes):
-            yield None, None, None, label, None, no, "orphan node"
+        if depth == 0 and count:
+            row["error"], depth = "second root, put under the first", 1
+        if depth > len(last_at):
+            row["error"] = "no item above it"
             continue
-        del open_nodes[depth:]
-        yield node, open_nodes[-1] if open_nodes else None, depth, label, marks, no, None
-        open_nodes.append(node)
+        row |= {"node_id": count, "parent_id": last_at[depth - 1] if depth else None, "depth": depth}
+        last_at[depth:] = [count]
+        count += 1
+    return out
 
 
 def parse_outlines(outlines: DataFrame, key: str = "doc", outline: str = "outline") -> DataFrame:
-    """GEN-4: adjacency rows and error rows per outline. Whether a line is accepted depends on which lines were
-    before it, so the walk is a map-only Python step."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key] + [c.split()[0] for c in _OUTLINE.split(", ")]
-        for batch in batches:
-            rows = [(k, *r) for k, o in zip(batch[key], batch[outline]) for r in outline_rows(o or "")]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"node_id": "Int32", "parent_id": "Int32", "depth": "Int32", "line_no": "int32"})
-
-    kind = outlines.schema[key].dataType.simpleString()
-    return outlines.select(key, outline).mapInPandas(run, f"{key} {kind}, {_OUTLINE}")
+    """GEN-4: (key, node_id, parent_id, depth, text, citations, line_no, error), one row per line that is not blank.
+
+    Text, citations and indents are taken from the lines by expressions; where a line goes depends on those before it,
+    which is a fold over the depths. Map-only.
+    """
+    placed = F.pandas_udf(lambda depths: depths.map(place_nodes), PLACED, F.PandasUDFType.SCALAR)
+    lines = F.transform(F.split(F.coalesce(outline, F.lit("")), "\r?\n"), lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))
+    filled = F.filter(lines, lambda x: ~text.is_blank(x["line"]))
+    blanks = lambda x: F.length(F.regexp_extract(x["line"], r"\A( *)", 1))
+    depth = lambda x: F.when(~x["line"].rlike(r"\A *- +\S"), NOT_AN_ITEM).when(blanks(x) % 2 == 1, UNEVEN).otherwise((blanks(x) / 2).cast("int"))
+    listed = outlines.select(key, filled.alias("_lines")).withColumn("_at", placed(F.transform("_lines", depth)))
+    rows = listed.select(key, F.explode(F.arrays_zip("_lines", "_at")).alias("x")).select(key, F.col("x._lines.no").alias("line_no"), F.col("x._lines.line").alias("line"), "x._at.*")
+    body, marks = text.trailing_citations(F.regexp_replace("line", r"\A *- +", ""))
+    node = F.col("node_id").isNotNull()
+    shown = F.when(F.col("error").isin("no list item", "uneven indent"), text.trim_ws(F.col("line"))).otherwise(body)
+    return rows.select(key, "node_id", "parent_id", "depth", shown.alias("text"), F.when(node, marks).alias("citations"), "line_no", "error")
 
 
 def split_slides(decks: DataFrame, key: str = "doc", deck: str = "deck") -> DataFrame:

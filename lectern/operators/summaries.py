@@ -10,7 +10,7 @@ from ..udfs import Completer, complete
 from . import lexical
 
 INPUT_CHARS = 6000
-SYSTEM_PROMPT = "Summarise this document in at most 200 words: its subject, main claims, conclusions and key points. Give the summary only."
+SYSTEM_PROMPT = "Write an abstract by which a search can find this document again. Answer with the abstract alone."
 
 
 def scoped_content(content: DataFrame, scoped_paths: DataFrame) -> DataFrame:
@@ -38,14 +38,17 @@ def summary_input(chunks: DataFrame, max_chars: int = INPUT_CHARS) -> DataFrame:
 
 
 def backfill_summaries(
-    content: DataFrame, chunks: DataFrame, fn: Completer, model_id: str, *, concurrency: int = 1
+    content: DataFrame, chunks: DataFrame, fn: Completer, model_id: str, *, calls_at_a_time: int | None = None
 ) -> DataFrame:
     """SUM-4: (file_hash, summary, summary_model_id, error) for the candidates; a failed document is a row with an error.
 
-    ``concurrency`` (1 to 8) is the number of tasks that call the model at a time.
+    As many tasks call the model as Spark runs, unless the model's rate asks for another number: ``calls_at_a_time`` deals
+    the inputs to that many tasks.
     """
     todo = summary_candidates(content, chunks).filter("has_text").select("file_hash")
-    inputs = summary_input(chunks.join(todo, "file_hash", "left_semi")).repartition(max(1, min(concurrency, 8)))
+    inputs = summary_input(chunks.join(todo, "file_hash", "left_semi"))
+    if calls_at_a_time:
+        inputs = inputs.repartition(calls_at_a_time)
     out = inputs.select("file_hash", complete(fn)(F.col("input")).alias("r"))
     return out.select("file_hash", F.col("r.text").alias("summary"), F.lit(model_id).alias("summary_model_id"), "r.error")
 

@@ -115,11 +115,12 @@ def test_budget_prefix_of_a_whole_notebook(spark):
     assert {(r.notebook_id, r.truncated) for r in out} == {("n", True), ("m", False)}
 
 
-def test_outlines():
-    rows = list(generation.outline_rows("- Root [1]\n  - A [3][7]\n      - jump\n   - odd\n  - B [5] mid\n    - C\ntext\n- Second\n  - D"))
-    nodes = [(r[0], r[1], r[2], r[3], r[4]) for r in rows if r[6] is None]
-    assert nodes == [(0, None, 0, "Root", [1]), (1, 0, 1, "A", [3, 7]), (3, 0, 1, "B [5] mid", []), (4, 3, 2, "C", []), (5, 0, 1, "Second", []), (6, 0, 1, "D", [])]
-    assert [r[6].split()[0] for r in rows if r[6]] == ["orphan", "indent", "skipped", "extra"]
+def test_outlines(spark):
+    outline = "- Root [1]\n  - A [3][7]\n      - jump\n   - odd\n  - B [5] mid\n    - C\n\ntext\r\n- Second\n  - D"
+    rows = generation.parse_outlines(spark.createDataFrame([("x", outline), ("empty", None)], "doc string, outline string")).orderBy("line_no").collect()
+    nodes = [(r.node_id, r.parent_id, r.depth, r.text, r.citations) for r in rows if r.node_id is not None]
+    assert nodes == [(0, None, 0, "Root", [1]), (1, 0, 1, "A", [3, 7]), (2, 0, 1, "B [5] mid", []), (3, 2, 2, "C", []), (4, 0, 1, "Second", []), (5, 0, 1, "D", [])]
+    assert [(r.line_no, r.error.split()[0]) for r in rows if r.error] == [(3, "no"), (4, "uneven"), (8, "no"), (9, "second")]
 
 
 def test_slides(spark):
