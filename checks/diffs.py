@@ -246,7 +246,7 @@ def str2(v: Views):
     return changes.explode_renames(v.fs_events).select("event_id", "kind", "path")
 
 
-SQL_VIEWS["v_touched"] = "SELECT event_id, path AS file_path FROM v_fs_events UNION ALL SELECT event_id, old_path FROM v_fs_events WHERE old_path IS NOT NULL"
+SQL_VIEWS["v_touched"] = "SELECT event_id, ts, path AS file_path FROM v_fs_events UNION ALL SELECT event_id, ts, old_path FROM v_fs_events WHERE old_path IS NOT NULL"
 
 
 @query("str3_affected_notebooks", f"SELECT notebook_id, count(*) AS n_changes, count(DISTINCT file_path) AS n_paths FROM ({scoped_sql('v_touched').replace('PARTITION BY notebook_id, file_path', 'PARTITION BY notebook_id, event_id, file_path')}) GROUP BY notebook_id")

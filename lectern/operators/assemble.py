@@ -1,8 +1,7 @@
 """Markdown assembly: pages, slides and tables to one text per document, with a locator for every stretch.
 
 The *piece* tables here (one row per section or table row, with offsets) are the result at any size.
-``assemble_documents`` joins the pieces of a document into one string where it stays under the size a
-file may have to be indexed at all; larger documents keep their pieces and get a null text.
+``assemble_documents`` joins the pieces of a document into one string.
 """
 
 from __future__ import annotations
@@ -14,12 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scope import HARD_LIMIT
 from ..functions.text import is_blank, trim_ws
 from ..schemas import LOCATOR
 from .scans import HOT_ROWS, prefix_scan
 
-MAX_TEXT = HARD_LIMIT["pptx"]
 EMPTY_TABLE = "_(空)_"
 
 
@@ -37,15 +34,20 @@ def _with_offsets(pieces: DataFrame, keys: Sequence[str], order: Sequence[str],
 def assemble_sections(
     df: DataFrame, doc: str, ord_: str, title: Column, body: Column, *, kind: str = "page", hot_rows: int = HOT_ROWS, extra_order: Sequence[str] = ()
 ) -> DataFrame:
-    """ASM-1: (doc, ord, piece, char_start, char_end, locator): ``## title``, blank line, body; empty bodies skipped."""
+    """ASM-1: (doc, ord, piece, char_start, char_end, locator): ``## title``, blank line, body. Pages and notes without a body
+    are skipped; a slide is its title at least."""
     number = F.col(ord_).cast("int")
     where = (
         locator("page", page_from=number, page_to=number)
         if kind == "page"
         else locator("slide", index=number, title=title, is_note=F.col("is_note") if "is_note" in df.columns else F.lit(False))
     )
-    pieces = df.filter(F.coalesce(~is_blank(body), F.lit(False))).select(
-        doc, ord_, *extra_order, F.concat(F.lit("## "), title, F.lit("\n\n"), body, F.lit("\n\n")).alias("piece"), where.alias("locator")
+    filled = F.coalesce(~is_blank(body), F.lit(False))
+    if kind == "slide":
+        filled = filled | ~(F.col("is_note") if "is_note" in df.columns else F.lit(False))
+    shown = F.when(is_blank(F.coalesce(body, F.lit(""))), F.lit("")).otherwise(F.concat(body, F.lit("\n\n")))
+    pieces = df.filter(filled).select(
+        doc, ord_, *extra_order, F.concat(F.lit("## "), title, F.lit("\n\n"), shown).alias("piece"), where.alias("locator")
     )
     return _with_offsets(pieces, [doc], [ord_, *extra_order], hot_rows)
 
@@ -60,13 +62,12 @@ def notes_sections(slides: DataFrame, notes: DataFrame, doc: str, ord_: str, *,
     return out
 
 
-def assemble_documents(pieces: DataFrame, doc: str, order: Sequence[str], max_text: int = MAX_TEXT) -> DataFrame:
-    """(doc, total_chars, text): pieces joined in order; text is null beyond ``max_text``."""
+def assemble_documents(pieces: DataFrame, doc: str, order: Sequence[str], max_text: int | None = None) -> DataFrame:
+    """(doc, total_chars, text): pieces joined in order; with ``max_text``, longer documents keep a null text."""
     total = pieces.groupBy(doc).agg(F.max("char_end").alias("total_chars"))
-    fitting = total.filter(F.col("total_chars") <= max_text).select(doc)
+    fitting = pieces if max_text is None else pieces.join(total.filter(F.col("total_chars") <= max_text).select(doc), doc, "left_semi")
     joined = (
-        pieces.join(fitting, doc, "left_semi")
-        .groupBy(doc)
+        fitting.groupBy(doc)
         .agg(F.sort_array(F.collect_list(F.struct(*order, "piece"))).alias("p"))
         .select(doc, F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("text"))
     )

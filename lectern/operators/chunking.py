@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Default chunk size and overlap in tokens, and the most chunks a file may give.
-MAX_TOKENS, OVERLAP_TOKENS, MAX_CHUNKS_PER_FILE = 500, 50, 10_000
+# Default chunk size and overlap in tokens.
+MAX_TOKENS, OVERLAP_TOKENS = 500, 50
 
 SP = T.WS.replace("\n", "")  # white space within a line
 _NONSPACE = f"[^{T.WS}]"
@@ -373,7 +373,7 @@ def chunk_documents(files: DataFrame, config: ChunkerConfig = ChunkerConfig(), l
 
     rows = packed.select("file_hash", *origin, F.posexplode(F.flatten(F.transform("spans", pieces))).alias("chunk_index", "c"))
     content = T.trim_ws(F.col("c.body"))
-    chunks = rows.filter(F.col("chunk_index") < MAX_CHUNKS_PER_FILE).select(
+    chunks = rows.select(
         F.concat_ws(":", "file_hash", F.col("chunk_index").cast("string")).alias("chunk_id"),
         "chunk_index", "file_hash", *origin, "c.heading_path", T.heading_text(F.col("c.heading_path")).alias("heading_text"),
         content.alias("content"), T.content_hash(content).alias("content_hash"), T.token_count(content).alias("token_count"),

@@ -216,7 +216,10 @@ def apply_changes(
     stamp = {"seq": F.lit(seq).cast("bigint"), "indexed_at": F.lit(now).cast("bigint")}
     gone_rows = dropped.withColumns({**stamp, "tombstone": F.lit(True)})
 
-    written = routed.filter("writes_content").select(
+    # a parser's new version rewrites the row: what was made from the content by other means stays with it
+    carried = [c for c in ("summary", "summary_model_id") if c in content.columns]
+    kept = content.select(F.col("file_hash").alias("expected_hash"), *carried)
+    written = routed.filter("writes_content").join(kept, "expected_hash", "left").select(
         F.col("expected_hash").alias("file_hash"),
         "file_size",
         F.lit(chunking_version).cast("bigint").alias("chunking_version"),
@@ -226,6 +229,7 @@ def apply_changes(
         "error_message",
         F.lit(seq).cast("bigint").alias("seq"),
         F.lit(False).alias("tombstone"),
+        *carried,
     )
     return {
         "paths": new_paths,

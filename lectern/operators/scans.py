@@ -18,31 +18,28 @@ from ..session import cut_lineage
 
 HOT_ROWS = 1_000_000  # a group over this is cut into buckets
 SLOTS = 256  # buckets per cut group
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-MAX_HOT = 1_000  # only the largest groups are cut: any other holds under 1/MAX_HOT of the rows
+FAN_IN = 1_024  # tasks whose best rows meet first, see top_k
+MAX_BYTES = 64 << 20  # of a side that is sent to all tasks
 
 
 def _order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def _split_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int) -> DataFrame:
+def _hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The keys of groups over ``hot_rows``, each of them; rows are counted before they move."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
+
+
+def _split_points(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(keys, _cuts): quasi-random order keys of each hot group, by hash, so that a rerun finds the same ones.
 
-    At most ``MAX_HOT`` rows of ``SLOTS`` keys each, whatever the input: safe to broadcast.
+    Only rows of hot groups are looked at, and each of them is one of ``SLOTS`` rows per task before it moves.
     """
     mix = F.xxhash64(*order)
-    probe = df.groupBy(*keys, F.pmod(mix, F.lit(SLOTS)).alias("_slot")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(_order_key(order), mix).alias("_cut")
-    )
-    return (
-        probe.groupBy(*keys)
-        .agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list("_cut")).alias("_cuts"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT)
-        .select(*keys, "_cuts")
-    )
+    probe = df.join(broadcast_small(hot), keys, "left_semi").groupBy(*keys, F.pmod(mix, F.lit(SLOTS)).alias("_slot"))
+    cuts = probe.agg(F.min_by(_order_key(order), mix).alias("_cut"))
+    return cuts.groupBy(*keys).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
 
 
 def prefix_scan(
@@ -61,8 +58,8 @@ def prefix_scan(
     sums   name -> expression: running sum up to and including the row
     lasts  name -> expression: last non-null value before the row
 
-    The keys are probed first. Without a hot group the scan is one plain window; with one, ``df`` is read
-    once more for the bucket totals.
+    The keys are counted first, before any row moves. Without a hot group the scan is one plain window; with one, ``df`` is
+    read again for cut points and bucket totals of the hot groups. Any number of groups may be hot.
     """
     keys, order = list(keys), list(order)
     sums, lasts = dict(sums or {}), dict(lasts or {})
@@ -72,8 +69,8 @@ def prefix_scan(
     staged = df.select(
         "*", *[e.alias(f"_s_{n}") for n, e in sums.items()], *[e.alias(f"_l_{n}") for n, e in lasts.items()]
     )
-    cuts = cut_lineage(_split_points(df.select(*keys, *order), keys, order, hot_rows))
-    if small_enough(cuts, 0):
+    hot = cut_lineage(_hot_keys(df, keys, hot_rows))
+    if hot.isEmpty():
         group = Window.partitionBy(*keys).orderBy(*order)
         upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         above = group.rowsBetween(Window.unboundedPreceding, -1)
@@ -82,8 +79,8 @@ def prefix_scan(
             *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
             *[F.last(e, ignorenulls=True).over(above).alias(n) for n, e in lasts.items()],
         )
-    key = _order_key(order)
-    staged = staged.join(F.broadcast(cuts), keys, "left").withColumn(
+    key, cuts = _order_key(order), cut_lineage(_split_points(df.select(*keys, *order), hot, keys, order))
+    staged = staged.join(broadcast_small(cuts), keys, "left").withColumn(
         "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= key)), F.lit(0))
     )
 
@@ -112,7 +109,7 @@ def prefix_scan(
         *[F.sum(f"_s_{n}").over(upto).alias(f"_ls_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(above).alias(f"_ll_{n}") for n in lasts],
     )
-    return local.join(F.broadcast(carry), [*keys, "_bucket"], "left").select(
+    return local.join(broadcast_small(carry), [*keys, "_bucket"], "left").select(
         *whole,
         *[(F.col(f"_ls_{n}") + F.coalesce(f"_cs_{n}", F.lit(0))).alias(n) for n in sums],
         *[F.coalesce(f"_ll_{n}", f"_cl_{n}").alias(n) for n in lasts],
@@ -120,27 +117,41 @@ def prefix_scan(
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key with their 1-based rank.
+    """First ``k`` rows per key with their 1-based rank, in two levels.
 
-    Spark puts a WindowGroupLimit before the exchange, so each task passes on at most ``k`` rows
-    per key: a hot key costs ``k`` times the number of tasks, not its size. Spark does so up to a
-    threshold only (1000 by default), which is raised where ``k`` needs it.
+    A task passes on at most ``k`` rows per key (Spark limits before the exchange, up to the threshold that ``session.DEFAULTS``
+    raises). The rows of up to ``FAN_IN`` groups of tasks meet first, then their best: of T tasks no task gets more than
+    ``k`` times T / FAN_IN rows of a key, then ``k`` times FAN_IN.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT, "1000")) < k:
-        conf.set(GROUP_LIMIT, str(k))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffled, skew-handled join."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+    part = df.withColumn("_part", F.spark_partition_id() % FAN_IN)
+    near = part.withColumn("_near", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_near") <= k)
+    best = Window.partitionBy(*keys).orderBy(*order)
+    return near.drop("_part", "_near").withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "varchar", "char", "binary"):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes; looks at no more rows than that."""
+    seen = df.select(_bytes(df).cast("bigint").alias("b")).limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return seen.n <= max_rows and (seen.b or 0) <= max_bytes
+
+
+def broadcast_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting rows and bytes; a larger side is left to a shuffled, skew-handled join."""
+    return F.broadcast(df) if small_enough(df, max_rows, max_bytes) else df
 
 
 class BestRows:

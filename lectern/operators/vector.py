@@ -67,7 +67,7 @@ def load_vectors(vectors: DataFrame, chunks: DataFrame, scoped_paths: DataFrame,
 def batch_by_tokens(chunks: DataFrame, max_tokens: int = BATCH_TOKENS, max_rows: int = BATCH_ROWS) -> DataFrame:
     """VEC-4: adds ``batch_id`` to the chunks of each file, in order.
 
-    A fold that restarts when a batch is full, over one file's chunks (at most 10 000 by construction).
+    A fold that restarts when a batch is full, over one file's chunks (without their text).
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

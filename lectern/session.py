@@ -12,6 +12,9 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",  # top_k limits in the task up to this depth
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",  # a busy notebook costs its sessions, not its events
 }
 
 

@@ -11,6 +11,7 @@ import re
 import time
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import RETRYABLE_PATTERN
-from .operators.vector import BATCH_ROWS, MAX_CHARS
+from .operators.vector import BATCH_ROWS, BATCH_TOKENS, MAX_CHARS
+from .schemas import LOCATOR
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 Completer = Callable[[str], str]
@@ -26,6 +28,8 @@ PairScorer = Callable[[list[str], list[str]], Sequence[float]]
 
 # Text prefixes the E5 embedding family was trained with; retries of model calls.
 PREFIXED_FAMILY = r"(?:multilingual-)?e5-(?:small|base)(?:-v2)?$"
+_HAN = r"\u3400-\u9fff\uf900-\ufaff"
+TOKENS = re.compile(rf"[{_HAN}]|(?:(?![{_HAN}])\w)+|[^\w\s]")  # as the text functions count them, for sizing requests
 PREFIX = {"document": "passage: ", "query": "query: "}
 MAX_RETRIES, RETRY_BASE_S, RETRY_MAX_S = 4, 1.5, 20.0
 
@@ -59,13 +63,30 @@ def _unit(vec: Sequence[float]) -> list[float]:
 def _embed_batch(texts: list[str], fn: Embedder) -> list[tuple[list[float] | None, str | None]]:
     """Vectors for a batch; if the batch fails, each text is tried alone so that one bad text costs only itself."""
     try:
-        return [(_unit(v), None) for v in fn(texts)]
+        vectors = list(fn(texts))
+        if len(vectors) != len(texts):
+            raise ValueError(f"model returned {len(vectors)} vectors for {len(texts)} texts")
+        return [(_unit(v), None) for v in vectors]
     except Exception as e:  # noqa: BLE001 - reported as a row
         if len(texts) == 1:
             return [(None, str(e))]
         return [_embed_batch([t], fn)[0] for t in texts]
 
 
+def token_batches(texts: list[str]) -> Iterator[list[str]]:
+    """VEC-4: the texts in order, as many at a time as rows and tokens of a request allow; one over the tokens goes alone."""
+    part, tokens = [], 0
+    for t in texts:
+        n = len(TOKENS.findall(t))
+        if part and (len(part) == BATCH_ROWS or tokens + n > BATCH_TOKENS):
+            yield part
+            part, tokens = [], 0
+        part.append(t)
+        tokens += n
+    if part:
+        yield part
+
+
 def embed(model_id: str, fn: Embedder, kind: str) -> Callable[[Column], Column]:
     """UDF-2/VEC-3: column function text -> struct(vec, error)."""
     prefix = prefix_for(model_id, kind)
@@ -74,8 +95,7 @@ def embed(model_id: str, fn: Embedder, kind: str) -> Callable[[Column], Column]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
-            for i in range(0, len(batch), BATCH_ROWS):
-                part = [prefix + (t or "")[:MAX_CHARS] for t in batch.iloc[i : i + BATCH_ROWS]]
+            for part in token_batches([prefix + (t or "")[:MAX_CHARS] for t in batch]):
                 rows += _embed_batch(part, fn)
             yield pd.DataFrame(rows, columns=["vec", "error"])
 
@@ -136,7 +156,25 @@ def score_pairs(fn: PairScorer) -> Callable[[Column, Column], Column]:
     return run
 
 
-Extractor = Callable[[bytes], str]
+@dataclass(frozen=True)
+class Extracted:
+    """What an extractor may return besides plain text: locators (entries of ``schemas.LOCATOR`` fields with ``char_start``
+    and ``char_end``) for CHK-11."""
+
+    text: str
+    locators: Sequence[dict] = ()
+
+
+@dataclass(frozen=True)
+class ExtractorSpec:
+    """A parser with its version (CDC-5 compares it) and the options it is called with."""
+
+    parse: Callable[..., str | Extracted]
+    version: int = 1
+    options: dict = field(default_factory=dict)
+
+
+Extractor = Callable[[bytes], str | Extracted] | ExtractorSpec
 
 
 def _extract_text(content: bytes) -> str:
@@ -153,27 +191,37 @@ EXTRACTORS: dict[str, Extractor] = {"md": _extract_text, "txt": _extract_text, "
 
 
 def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
-    """UDF-1: files (file_path, ext, content) to (file_path, file_hash, file_size, text, outcome, error), map-only.
+    """UDF-1: files (file_path, ext, content) to (file_path, file_hash, file_size, text, outcome, error, parser_version, locators), map-only.
 
     Extractors are looked up by extension in any case; an unknown extension or a failing parser is a row with
-    outcome ``error``, never a failed job.
+    outcome ``error``, never a failed job. A spec adds options and the parser's version; a parser that returns
+    ``Extracted`` adds locators, of which ``locator_rows`` makes the map for CHK-11.
     """
-    by_ext = {k.lower(): f for k, f in (EXTRACTORS if extractors is None else extractors).items()}
+    specs = {k.lower(): f if isinstance(f, ExtractorSpec) else ExtractorSpec(f) for k, f in (EXTRACTORS if extractors is None else extractors).items()}
+    names = LOCATOR.fieldNames()
 
-    def one(ext: str, content: bytes) -> tuple[str | None, str, str | None]:
-        fn = by_ext.get(ext.lower())
-        if fn is None:
-            return None, "error", f"no extractor for .{ext}"
+    def one(ext: str, content: bytes) -> tuple:
+        spec = specs.get(ext.lower())
+        if spec is None:
+            return None, "error", f"no extractor for .{ext}", None, None
         try:
-            return fn(content), "ok", None
+            got = spec.parse(content, **spec.options)
+            got = got if isinstance(got, Extracted) else Extracted(got)
+            places = [{"char_start": x["char_start"], "char_end": x["char_end"], "locator": {n: x.get(n) for n in names}} for x in got.locators]
+            return got.text, "ok", None, spec.version, places
         except Exception as e:  # noqa: BLE001 - reported as a row
-            return None, "error", str(e)
+            return None, "error", str(e), spec.version, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             done = [one(x, c) for x, c in zip(batch["ext"], batch["content"])]
-            out = pd.DataFrame(done, columns=["text", "outcome", "error"], index=batch.index)
+            out = pd.DataFrame(done, columns=["text", "outcome", "error", "parser_version", "locators"], index=batch.index).astype({"parser_version": "Int64"})
             yield pd.concat([batch[["file_path", "file_hash", "file_size"]], out], axis=1)
 
     hashed = files.select("file_path", "ext", "content", F.sha2("content", 256).alias("file_hash"), F.octet_length("content").cast("bigint").alias("file_size"))
-    return hashed.mapInPandas(run, "file_path string, file_hash string, file_size bigint, text string, outcome string, error string")
+    return hashed.mapInPandas(run, f"file_path string, file_hash string, file_size bigint, text string, outcome string, error string, parser_version bigint, locators array<struct<char_start:int,char_end:int,locator:{LOCATOR.simpleString()}>>")
+
+
+def locator_rows(extracted: DataFrame) -> DataFrame:
+    """(file_hash, char_start, char_end, locator) of extracted files, one entry per place; files with the same bytes count once."""
+    return extracted.dropDuplicates(["file_hash"]).select("file_hash", F.explode("locators").alias("x")).select("file_hash", "x.*")

@@ -159,3 +159,17 @@ def test_html(spark):
 
 def test_trim_knows_all_spaces(spark):
     assert spark.range(1).select(T.trim_ws(F.lit("　\t a b ﻿\n")).alias("t")).first().t == "a b"
+
+
+def test_a_file_may_give_any_number_of_chunks(spark):
+    text = "\n\n".join(f"# h{i}\n\nbody" for i in range(10_500))
+    files = spark.createDataFrame([("h", "a.md", text)], "file_hash string, file_path string, text string")
+    assert chunking.chunk_documents(files).count() == 10_500
+
+
+def test_slides_with_a_title_only_are_kept(spark):
+    rows = [("d", 1, "T", "", False), ("d", 2, "U", "b", False), ("d", 3, "N", " ", True)]
+    df = spark.createDataFrame(rows, "doc string, n int, title string, body string, is_note boolean")
+    out = assemble.assemble_sections(df, "doc", "n", F.col("title"), F.col("body"), kind="slide").orderBy("n").collect()
+    assert [r.piece for r in out] == ["## T\n\n", "## U\n\nb\n\n"]
+    assert [r.n for r in assemble.assemble_sections(df, "doc", "n", F.col("title"), F.col("body")).collect()] == [2]

@@ -154,3 +154,45 @@ def test_retries_only_what_can_pass():
         except RuntimeError:
             pass
         assert len(seen) == times
+
+
+def test_a_model_that_returns_too_few_vectors_costs_its_batch_only(spark):
+    from lectern import udfs
+
+    df = spark.createDataFrame([("h", str(i), f"text {i}") for i in range(5)], "file_hash string, chunk_id string, content string")
+    out = udfs.embed_documents(df, "m", lambda texts: [[1.0, 0.0]] * min(len(texts), 3)).collect()
+    assert all(r.vec == [1.0, 0.0] for r in out)
+    assert all("0 vectors for 1 texts" in r.error for r in udfs.embed_documents(df, "m", lambda texts: []).collect())
+    assert [len(b) for b in udfs.token_batches(["a " * 5000, "b " * 4000, "c", "d " * 9000, "e"] + ["f"] * 100)] == [1, 2, 1, 96, 5]
+
+
+def test_extractors_with_version_options_and_locators(spark):
+    from lectern import udfs
+
+    def paged(content, sep):
+        a, b = content.decode().split(sep)
+        return udfs.Extracted(a + b, [{"char_start": 0, "char_end": len(a), "kind": "page", "page_from": 1, "page_to": 1}, {"char_start": len(a), "char_end": len(a + b), "kind": "page", "page_from": 2, "page_to": 2}])
+
+    files = spark.createDataFrame([("a.pp", "pp", b"one|two"), ("b.pp", "pp", b"none"), ("c.txt", "txt", b"plain")], "file_path string, ext string, content binary")
+    out = udfs.extract(files, {"pp": udfs.ExtractorSpec(paged, 7, {"sep": "|"}), "txt": lambda b: b.decode()}).cache()
+    assert {(r.file_path, r.text, r.outcome, r.parser_version) for r in out.collect()} == {("a.pp", "onetwo", "ok", 7), ("b.pp", None, "error", 7), ("c.txt", "plain", "ok", 1)}
+    assert [(r.char_start, r.char_end, r.locator.page_from) for r in udfs.locator_rows(out).orderBy("char_start").collect()] == [(0, 3, 1), (3, 6, 2)]
+
+
+def test_search_within_notebooks_equals_search_over_their_files(spark):
+    from lectern.operators import lexical
+    from lectern.plans.search import hybrid_search, scoped_search
+
+    words = ["red", "green", "blue", "stone", "river", "cloud"]
+    chunks = spark.createDataFrame(
+        [(f"h{i}:0", 0, f"h{i}", f"f{i}.md", "", " ".join(words[j % 6] for j in range(i, i + 3 + i % 4))) for i in range(30)],
+        "chunk_id string, chunk_index int, file_hash string, file_path string, heading_text string, content string",
+    )
+    scope = spark.createDataFrame([(f"n{i % 3}", f"h{i}", f"f{i}.md") for i in range(30)], "notebook_id string, file_hash string, file_path string")
+    asked = spark.createDataFrame([(1, "red river", "n0"), (2, "red river", "n1"), (3, "cloud", "n2")], "query_id long, text string, notebook_id string")
+    got = scoped_search(asked, chunks, scope, ["n0", "n1", "n2"], pre_filter=F.col("chunk_index") == 0).collect()
+    assert got and all(int(r.chunk_id[1:].split(":")[0]) % 3 == int(r.notebook_id[1:]) for r in got)
+    own = chunks.where(F.expr("cast(substring(file_hash, 2) as int) % 3 = 1"))
+    alone = hybrid_search(asked.where("query_id = 2").drop("notebook_id"), own, lexical.build_postings(own), lexical.corpus_stats(lexical.doc_stats(own))).collect()
+    key = lambda r: (r.query_id, r.final_rank, r.chunk_id, round(r.bm25_score, 9))
+    assert sorted(map(key, alone)) == sorted(key(r) for r in got if r.query_id == 2)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.scans import prefix_scan, top_k
+from lectern.operators.scans import prefix_scan, small_enough, top_k
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
@@ -29,3 +29,19 @@ def test_top_k_limits_inside_the_tasks(spark):
         out = top_k(df, ["k"], [F.desc("id")], k)
         assert sorted((r["rank"], r.id) for r in out.collect()) == [(i, 5000 - i) for i in range(1, k + 1)]
         assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_hot_groups(spark):
+    df = spark.range(60_000).select((F.col("id") % 1_200).alias("k"), F.xxhash64("id").alias("o"), F.lit(1).alias("x"))
+    out = prefix_scan(df, ["k"], ["o"], rank="rn", hot_rows=20)
+    assert out.groupBy("k").agg(F.countDistinct("rn").alias("d"), F.max("rn").alias("m")).where("d <> 50 or m <> 50").count() == 0
+
+
+def test_top_k_over_many_tasks(spark):
+    df = spark.range(0, 20_000, 1, 97).select(F.lit(1).alias("k"), F.col("id"))
+    assert [r.id for r in top_k(df, ["k"], [F.desc("id")], 1_500).orderBy("rank").collect()] == list(range(19_999, 18_499, -1))
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    df = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert small_enough(df, 100) and not small_enough(df, 99) and not small_enough(df, 100, 50_000)

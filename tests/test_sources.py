@@ -34,10 +34,22 @@ def test_scan_lists_in_scope_files_and_reads_only_changed_ones(spark, tmp_path):
     nb = scope.Notebook("n", (scope.Source("s", "notes"),))
     files = sources.scan_files(spark, str(tmp_path), nb)
     assert {r.file_path for r in files.collect()} == {"notes/a.md", "notes/B.MD"}
-    texts = sources.read_contents(spark, str(tmp_path), files.filter(F.col("file_path") == "notes/B.MD")).collect()
+    texts = sources.read_contents(files.filter(F.col("file_path") == "notes/B.MD")).collect()
     assert [(r.file_path, r.text) for r in texts] == [("notes/B.MD", "two")]
 
 
+def test_contents_of_odd_names_and_lost_files(spark, tmp_path):
+    names = ["[draft] x.md", "a b%20c.md", "t{1,2}.txt", "ü*?.md"]
+    for n in names:
+        (tmp_path / n).write_text(f"in {n}", encoding="utf-8")
+    files = sources.scan_files(spark, str(tmp_path), exts=("md", "txt")).cache()
+    assert {r.file_path for r in files.collect()} == set(names)
+    (tmp_path / names[1]).unlink()
+    got = {r.file_path: r for r in sources.read_contents(files).collect()}
+    assert {n: r.text for n, r in got.items()} == {n: None if n == names[1] else f"in {n}" for n in names}
+    assert got[names[1]].error and got[names[0]].error is None
+
+
 def snapshot(spark, files):
     rows = [(p, m, t) for p, (m, t) in files.items()]
     return spark.createDataFrame(rows, "file_path string, source_mtime long, text string").select(
