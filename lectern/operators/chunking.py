@@ -258,20 +258,23 @@ def _indent(text: Column) -> Column:
 def hard_windows(text: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> Column:
     """CHK-9: ARRAY<STRUCT<rel_start, rel_end>> of token windows over one sentence, each overlapping the one before.
 
-    The text is cut into tokens with the white space before them, so lengths add up to offsets.
+    The text is cut into tokens with the white space before them, so lengths add up to offsets: of each step once, then over
+    the steps before a window.
     """
     step = max(max_tokens - min(overlap_tokens, max_tokens // 4), 1)
 
-    def window(pieces: Column, i: Column) -> Column:
+    def window(pieces: Column, sizes: Column, i: Column) -> Column:
         inside = F.array_join(F.slice(pieces, i + 1, F.lit(max_tokens)), "")
-        begin = F.length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
-        return _let(inside, lambda w: F.struct((begin + _indent(w)).alias("rel_start"), (begin + F.length(w)).alias("rel_end")))
+        before = F.aggregate(F.slice(sizes, F.lit(1), (i / step).cast("int")), F.lit(0), lambda a, x: a + x)
+        return _let(before, lambda begin: _let(inside, lambda w: F.struct((begin + _indent(w)).alias("rel_start"), (begin + F.length(w)).alias("rel_end"))))
 
     def windows(pieces: Column) -> Column:
         n = F.size(pieces)
-        starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i - step + max_tokens < n))
+        steps = F.sequence(F.lit(0), n - 1, F.lit(step))
+        starts = F.filter(steps, lambda i: (i == 0) | (i - step + max_tokens < n))
+        sizes = F.transform(steps, lambda i: F.length(F.array_join(F.slice(pieces, i + 1, F.lit(step)), "")))
         none = F.array().cast("array<struct<rel_start: int, rel_end: int>>")
-        return F.when(n > 0, F.transform(starts, lambda i: window(pieces, i))).otherwise(none)
+        return F.when(n > 0, _let(sizes, lambda s: F.transform(starts, lambda i: window(pieces, s, i)))).otherwise(none)
 
     return _let(F.regexp_extract_all(text, F.lit(rf"[{T.WS}]*(?:{T.TOKEN})"), F.lit(0)), windows)
 

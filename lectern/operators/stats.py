@@ -28,6 +28,15 @@ def run_report(diff: DataFrame, by: list[str] | None = None) -> DataFrame:
     return diff.groupBy(*(by or []), "classification").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def index_report(run: dict[str, DataFrame], started_ms: int, ended_ms: int) -> DataFrame:
+    """AGG-2: (item, name, n) of an indexing run: files by class of change, errors by class, chunks, milliseconds."""
+    rows = run["diff"].groupBy(F.lit("files").alias("item"), F.col("classification").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.unionByName(run["errors"].groupBy(F.lit("errors").alias("item"), F.col("error_class").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    rows = rows.unionByName(run["chunks"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunks").alias("item"), F.lit("all").alias("name"), "n"))
+    took = run["chunks"].sparkSession.range(1).select(F.lit("milliseconds").alias("item"), F.lit("all").alias("name"), F.lit(ended_ms - started_ms).cast("bigint").alias("n"))
+    return rows.unionByName(took)
+
+
 def notebook_status(notebooks: DataFrame, runs: DataFrame, changes: DataFrame) -> DataFrame:
     """AGG-3: idle / dirty / indexing / error.
 

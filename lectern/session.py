@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,20 @@ def get_spark(app: str = "lectern", master: str | None = None, **conf: str) -> S
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, so that its functions run there wherever it is installed on the driver."""
+    if getattr(spark.sparkContext, "_lectern_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="lectern-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "lectern"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._lectern_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -36,9 +51,12 @@ def shared_folder(spark: SparkSession) -> str | None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder; a lost executor loses none of it.
 
-    Only a session that names no such folder (a local test) gets a temporary one.
+    Only a local session that names no such folder (a test) gets a temporary one; a cluster without one is told so.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="lectern-ckpt-"))
+        folder = shared_folder(df.sparkSession)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-ckpt-"))
     return df.checkpoint()

@@ -196,3 +196,23 @@ def test_search_within_notebooks_equals_search_over_their_files(spark):
     alone = hybrid_search(asked.where("query_id = 2").drop("notebook_id"), own, lexical.build_postings(own), lexical.corpus_stats(lexical.doc_stats(own))).collect()
     key = lambda r: (r.query_id, r.final_rank, r.chunk_id, round(r.bm25_score, 9))
     assert sorted(map(key, alone)) == sorted(key(r) for r in got if r.query_id == 2)
+
+
+def test_questions_to_prompts(spark):
+    from lectern.operators import lexical
+    from lectern.plans.search import answer_questions
+
+    chunks = spark.createDataFrame(
+        [(f"h{i}:{j}", j, f"h{i}", f"f{i}.md", f"H{i}", f"{'apple' if i % 2 else 'pear'} number {i} part {j}", 6, 0, 20) for i in range(8) for j in range(3)],
+        "chunk_id string, chunk_index int, file_hash string, file_path string, heading_text string, content string, token_count int, char_start int, char_end int",
+    )
+    questions = spark.createDataFrame([(1, "apple"), (2, "总结 pear")], "query_id long, text string")
+    rewrites = spark.createDataFrame([(1, 1, "pear 4"), (1, 99, "ignored")], "query_id long, rewrite_id int, text string")
+    summary_hits = spark.createDataFrame([(2, f"h{i}", i + 1) for i in range(6)], "query_id long, file_hash string, rank int")
+    out = answer_questions(questions, rewrites, chunks, lexical.build_postings(chunks), lexical.corpus_stats(lexical.doc_stats(chunks)), summary_hits, budget=400)
+    assert {(r.query_id, r.route) for r in out["routes"].collect()} == {(1, "chunk"), (2, "summaries")}
+    prompts = {r.query_id: r for r in out["prompts"].collect()}
+    assert set(prompts) == {1, 2}
+    cited = out["citations"].collect()
+    assert {r.chunk_id.split(":")[0] for r in cited if r.query_id == 2} <= {f"h{i}" for i in range(6)}
+    assert any("apple" in r.content for r in cited if r.query_id == 1)

@@ -114,3 +114,32 @@ def test_compaction_keeps_the_latest_and_the_old_version(spark, tmp_path):
     second = sources.write_version(sources.compact(spark.read.schema(log.schema).parquet(first), "file_path"), str(tmp_path), 2)
     assert [(r.file_path, r.file_hash) for r in spark.read.schema(log.schema).parquet(second).collect()] == [("a", "h2")]
     assert spark.read.schema(log.schema).parquet(first).count() == 4
+
+
+def test_compaction_changes_no_state(spark, tmp_path):
+    from lectern.plans import index
+
+    root = str(tmp_path)
+    for batch, files in enumerate([{"a.md": (1, "one"), "b.md": (1, "two")}, {"a.md": (2, "three")}, {"a.md": (2, "three"), "b.md": (3, "two")}]):
+        index.apply_batch(spark, root, snapshot(spark, files), batch, batch)
+        if batch == 1:
+            before = alive(spark, root)
+            assert not index.compact_state(spark, root, "paths", 1)
+            assert index.compact_state(spark, root, "paths", 1, force=True) and index.compact_state(spark, root, "content", 1, force=True)
+            assert not index.compact_state(spark, root, "paths", 1, force=True)
+            assert {r.file_path for r in index._state(spark, f"{root}/paths", PATHS, "file_path", 2).collect()} == {"a.md"}
+            assert before == alive(spark, root)
+    state = index._state(spark, f"{root}/paths", PATHS, "file_path", 3)
+    assert {(r.file_path, r.file_hash) for r in state.collect()} == {(r.file_path, r.file_hash) for r in diff.latest(spark.read.schema(PATHS).parquet(f"{root}/paths"), "file_path").collect()}
+    texts = sorted(r.content for r in index.live(spark, root, "chunks").collect())
+    assert texts == ["three", "two"]
+
+
+def test_index_report(spark):
+    from lectern.operators.stats import index_report
+    from lectern.plans import index
+
+    files = snapshot(spark, {"a.md": (1, "one"), "b.md": (1, "  ")})
+    empty = {n: spark.createDataFrame([], s) for n, s in (("paths", PATHS), ("content", CONTENT))}
+    run = index.index_snapshot(empty["paths"], empty["content"], files.withColumn("text", F.when(F.col("file_path") == "a.md", F.col("text"))), seq=1, now=1)
+    assert {(r.item, r.name, r.n) for r in index_report(run, 5, 12).collect()} == {("files", "NEW_PATH", 2), ("errors", "persistent", 1), ("chunks", "all", 1), ("milliseconds", "all", 7)}
