@@ -29,6 +29,7 @@ from ..session import cut_lineage
 from .base import text_of
 
 BLANK = r"\x20\x09-\x0D"
+BROADCAST_ROWS = 1_000_000  # draws, of about 60 bytes
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class Recipe:
     share: float = 1.5  # the mix's size in parts of all sizes
     most: int = 2  # no source, and no document, is taken more often
     blocks: int = 4096  # of a source
-    shard_words: int = 20_000_000
+    shard_words: int = 5_000_000  # about, of an output shard
     seed: int = 17
 
 
@@ -116,7 +117,9 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     node = quotas.agg(F.sort_array(F.collect_list(F.struct("nth", F.col("q").cast("long").alias("q")))).alias("quota"), F.sum("q").cast("long").alias("all"))
     node = node.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "quota", "all").where("all is not null")
     empty = F.array().cast("array<struct<nth:int,q:bigint>>")
-    for _ in range(int(math.log2(shards))):
+    for level in range(int(math.log2(shards))):
+        if level == 8:
+            node = node.repartition("lo")  # 256 nodes: from here on the levels run side by side
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         room = F.floor(F.col("all") * mid / shards) - F.floor(F.col("all") * F.col("lo") / shards)
         in_node = F.floor(F.col("all") * F.col("hi") / shards) - F.floor(F.col("all") * F.col("lo") / shards)
@@ -204,7 +207,9 @@ class Mix:
         The one document per source that is taken in part holds its first words only.
         """
         whole = docs.select(F.struct("*").alias("_doc")).select("_doc", *self._of_document(self.recipe, "_doc.doc_id", "_doc.source", "_doc.text")).drop("source")
-        drawn = whole.join(self.draws.select("key", "block", "shard", "draw", "whole"), ["key", "block"]).where("size > 0")
+        draws = self.draws.select("key", "block", "shard", "draw", "whole")
+        few = draws.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then texts move once only, to their shards
+        drawn = whole.join(F.broadcast(draws) if few else draws, ["key", "block"]).where("size > 0")
         part = self._last_block().groupBy("key", "block", "doc_id", "mixed").agg(F.collect_list("part").alias("parts"))
         # rows that repeat share id, text and place: each takes one of their parts
         nth = F.row_number().over(Window.partitionBy("key", "block", "doc_id", "mixed").orderBy("size"))

@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     begin = np.cumsum(sums)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = int(begin[TaskContext.get().partitionId()])
+        at = int(begin[min(TaskContext.get().partitionId(), len(begin) - 1)])  # the last parts may be empty
         for part in slices(batches, "ids"):
             n = part.column("n_tokens").to_numpy()
             first = at + np.cumsum(n) - n

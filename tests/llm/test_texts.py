@@ -67,6 +67,13 @@ def test_pack_round_trip(spark, window):
     assert found == want
 
 
+def test_pack_with_empty_partitions(spark):
+    docs = table(spark, [(i, "a b c") for i in range(20)])
+    for some in (docs.where("doc_id = 3").repartition(9, "doc_id"), docs.repartition(1).union(docs.limit(0).repartition(5))):
+        got = packing.pack(some, window=7).collect()
+        assert sum(r.length for r in got) == 4 * len({r.doc_id for r in got})
+
+
 def test_pack_nothing_and_padding(spark):
     assert packing.pack(table(spark, [(1, "a")]).limit(0)).count() == 0
     assert [packing.padding(n) for n in (4096, 2048, 1, 4095, 100)] == [0, 0, 0, 1, 3996]
@@ -204,7 +211,7 @@ def _families(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("paths", [near.Paths(), near.Paths(small=4, block=8, sample=32)])
+@pytest.mark.parametrize("paths", [near.Paths(), near.Paths(small=4, block=8, sample_block=8, sample=32)])
 def test_near_duplicates(spark, paths):
     rows = _families(7) + [(i, t) for i, t in ODD if i != 902] + [(910, "one two"), (911, "one two"), (912, "b " * 5000)]
     got = near.near_duplicates(table(spark, rows), paths).collect()
