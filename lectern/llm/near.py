@@ -4,9 +4,9 @@ A text is the set of its hashed five-word shingles; texts with the same set are
 consistent sample is kept (the hashes under ``sample`` / size: about ``sample`` shingles), so similar sets have similar
 samples. Paths split the sets recursively: a set takes the shared tokens that a hash of the path and the token chooses,
 about ``first`` at the root and ``deeper`` below, as many runs at once. A pair of similarity 0.8 shares at least 0.8 of
-them on average and is lost with a probability of about exp(-0.8 * first), 7 in 100 000. Buckets of up to ``small`` sets are
-brute-forced; larger ones are split further, unless their sets are alike anyway (the children hold most pairs of the
-parent) or ``depth`` is reached: those are brute-forced in blocks of ``block`` sets, pairs of blocks spread over tasks.
+them on average and is lost with a probability of about exp(-0.8 * first), 7 in 100 000 (4 in 10 000 if all its tokens are
+so common that its paths are split twice). Buckets of up to ``small`` sets are
+brute-forced; larger ones are split further, unless their sets are alike anyway (``alike`` on average, by one minimal token each) or ``depth`` is reached: those are brute-forced in blocks of ``block`` sets, pairs of blocks spread over tasks.
 
 Brute force on samples (estimate at least ``loose``, five deviations under the threshold) leaves candidates. Their connected
 components are small families; only now the whole texts of candidates are read again, and every pair of a family is compared
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -45,16 +45,18 @@ class Paths:
     threshold: float = 0.8
     sample: int = 96
     first: float = 12.0
-    deeper: float = 5.0
+    deeper: float = 3.0
+    stays: int = 8
     depth: int = 4
     small: int = 64
     alike: float = 0.5
     loose: float = 0.6
-    block: int = 512
+    sample_block: int = 1024  # sets of a block when samples are compared
+    block: int = 512  # and when whole sets are
 
 
 def samples(docs: DataFrame, p: Paths) -> DataFrame:
-    """(id, d1, d2, n, sample): digest and size of each row's set, and its sampled shingles in order."""
+    """(id, d1, d2, n, sample): digest and size of each row's set, and the upper half of its sampled shingles, in order."""
     rows = docs.select(F.col("doc_id").alias("id"), text_of(F.col("text")).alias("text"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +66,11 @@ def samples(docs: DataFrame, p: Paths) -> DataFrame:
             d1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             d2 = np.array([mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), list_array(np.concatenate(kept).view(np.int64), np.array([len(k) for k in kept]))],
+                [part.column("id"), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), list_array((np.concatenate(kept) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array([len(k) for k in kept]))],
                 names=["id", "d1", "d2", "n", "sample"],
             )
 
-    return rows.mapInArrow(take, StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("d1 bigint, d2 bigint, n bigint, sample array<bigint>").fields]))
+    return rows.mapInArrow(take, StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("d1 bigint, d2 bigint, n bigint, sample array<int>").fields]))
 
 
 def _unsigned(below: Column, limit: Column) -> Column:
@@ -81,33 +83,52 @@ def first_paths(sets: DataFrame, p: Paths) -> DataFrame:
     return sets.select("id", F.explode(chosen).alias("path"))
 
 
+def with_samples(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n, sample, path) of members (id, path); a set's sample moves once for all its paths."""
+    of_set = members.groupBy("id").agg(F.collect_list("path").alias("paths"))  # as many as a set chooses
+    return of_set.join(sets.select("id", "n", "sample"), "id").select("id", "n", "sample", F.explode("paths").alias("path"))
+
+
+def alike_paths(members: DataFrame, sets: DataFrame, sizes: DataFrame, p: Paths) -> DataFrame:
+    """(path) of the buckets whose sets are alike on average: the share of pairs that choose the same token of their samples,
+    the one with the least hash, estimates their similarity."""
+    least = F.array_min(F.transform("sample", lambda t: F.struct(F.xxhash64(F.lit("probe"), "path", t).alias("h"))))
+    seen = with_samples(members, sets).select("path", least["h"].alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("m"))
+    pairs = seen.groupBy("path").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    return pairs.join(sizes, "path").where(F.col("pairs") >= p.alike * F.col("size") * F.col("size")).select("path")
+
+
 def next_paths(members: DataFrame, sets: DataFrame, p: Paths, level: int) -> DataFrame:
-    """(id, parent, path): the children of each hot path that its members choose."""
-    rows = members.join(sets.select("id", "n", "sample"), "id")
+    """(id, path): the children of each hot path that its members choose."""
     chosen = F.filter("sample", lambda t: _unsigned(F.xxhash64(F.lit(level), "path", t), F.lit(p.deeper) / F.least(F.col("n"), F.lit(p.sample))))
-    return rows.select("id", F.col("path").alias("parent"), F.explode(chosen).alias("t")).select("id", "parent", F.xxhash64("parent", "t").alias("path"))
+    rows = with_samples(members, sets).select("id", "path", F.explode(chosen).alias("t"))
+    return rows.select("id", F.xxhash64("path", "t").alias("path"))
 
 
 def leaves(sets: DataFrame, p: Paths) -> DataFrame:
-    """(id, path, size): the buckets to brute-force, each of two sets at least."""
-    members, found = cut_lineage(first_paths(sets, p)), None
+    """(id, path, size): the buckets to brute-force, each of two sets at least.
+
+    A set of a large bucket of alike sets is in many of them with the same others, so it stays in ``stays`` of those only, by
+    a hash of the path: enough to connect the family, whose pairs are all compared later.
+    """
+    members, found, families = cut_lineage(first_paths(sets, p)), None, None
     for level in range(1, p.depth + 1):
         sizes = cut_lineage(members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        sized = members.join(sizes, "path")
+        sized = members.join(sizes, "path").select("id", "path", "size")
         cold = sized.where(F.col("size") <= p.small) if level < p.depth else sized
+        found = cold if found is None else found.unionByName(cold)
         hot = sizes.where(F.col("size") > p.small)
         if level == p.depth or hot.isEmpty():
-            return cold if found is None else found.unionByName(cold)
+            break
         hot_members = cut_lineage(sized.where(F.col("size") > p.small))
-        children = cut_lineage(next_paths(hot_members, sets, p, level))
-        by_child = children.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("m"))
-        square = F.col("m").cast("double") * F.col("m")
-        alike = by_child.groupBy("parent").agg(F.sum(square).alias("pairs")).join(hot.withColumnRenamed("path", "parent"), "parent")
-        alike = cut_lineage(alike.where(F.col("pairs") >= p.alike * p.deeper * F.col("size") * F.col("size")).select(F.col("parent").alias("path")))
-        done = cold.unionByName(hot_members.join(alike, "path").select(*cold.columns))
-        found = done if found is None else found.unionByName(done)
-        members = cut_lineage(children.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "path"))
-    return found
+        alike = cut_lineage(alike_paths(hot_members.drop("size"), sets, hot, p))
+        family = hot_members.join(alike, "path").select("id", "path", "size")
+        families = family if families is None else families.unionByName(family)
+        members = cut_lineage(next_paths(hot_members.join(alike, "path", "left_anti").drop("size"), sets, p, level))
+    if families is None:
+        return found
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("path")))  # of the paths of one set
+    return found.unionByName(families.withColumn("nth", nth).where(F.col("nth") <= p.stays).drop("nth"))
 
 
 def blocked(rows: DataFrame, key: str, size: Column, block: int) -> DataFrame:
@@ -158,7 +179,7 @@ def candidate_edges(rows: DataFrame, p: Paths) -> DataFrame:
             ids, n, side = (group.column(c).to_numpy() for c in ("id", "n", "side"))
             order = np.argsort(ids, kind="stable")
             tokens, lengths = lists(group.column("sample").take(pa.array(order)))
-            ids, n, side, tokens = ids[order], n[order], side[order], tokens.view(np.uint64)
+            ids, n, side, tokens = ids[order], n[order], side[order], tokens.view(np.uint32)
             starts = np.cumsum(lengths) - lengths
             left, right = [], []
             for i, shared in overlaps(tokens, lengths):
@@ -167,7 +188,7 @@ def candidate_edges(rows: DataFrame, p: Paths) -> DataFrame:
                 if not other.any():
                     continue
                 if n[i] > p.sample:
-                    limit = np.uint64(p.sample / n[i] * ONE)
+                    limit = np.uint32(int(p.sample / n[i] * ONE) >> 32)
                     under = np.add.reduceat((tokens < limit).astype(np.int64), starts)
                 else:
                     under = lengths
@@ -242,7 +263,7 @@ def near_duplicates(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     sets = cut_lineage(sets.withColumn("id", F.when(F.col("again"), made_up).otherwise(F.col("node"))).drop("again", "node"))
 
     bucketed = cut_lineage(leaves(sets.where("n > 0"), p))
-    edges = candidate_edges(blocked(bucketed, "path", F.col("size"), p.block).join(sets.select("id", "n", "sample"), "id"), p)
+    edges = candidate_edges(blocked(bucketed, "path", F.col("size"), p.sample_block).join(sets.select("id", "n", "sample"), "id"), p)
     families = components(edges)
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     named = families.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("family"), "size")
