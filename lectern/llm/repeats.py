@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .base import slices, text_of
 from .shingles import mixed
@@ -84,7 +84,7 @@ def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchored(texts: list[bytes], p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, first window, windows) of every segment of the texts, in order."""
+    """(hash of 48 bits, text, first window, windows) of every segment of the texts, in order."""
     ends = np.cumsum([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
@@ -99,11 +99,12 @@ def anchored(texts: list[bytes], p: Repeats) -> tuple[np.ndarray, np.ndarray, np
     anchor, owner = anchor[window], owner[window]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])) if len(window) else none
     spans = np.diff(np.append(first, len(window)))
-    return hashes[anchor[first]], owner[first], window[first] - begin[owner[first]], spans
+    return hashes[anchor[first]] >> np.uint64(16), owner[first], window[first] - begin[owner[first]], spans
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("doc_id"), text_of(F.col("text")).alias("text"))
+    """(doc, text, nth): every use reads these columns, so that one shuffle serves all."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of(F.col("text")).alias("text"))
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc").orderBy("text")))
 
 
@@ -210,6 +211,10 @@ def cut_segments(docs: DataFrame, places: DataFrame, p: Repeats) -> DataFrame:
                         body = raw[s : s + n - 1 + p.length]
                         was = seen.get(body)
                         if was is not None and was < (doc, nth, s):
+                            before = out[-1] if out else None
+                            if before and before[0] == KNOWN and before[2:4] == (doc, nth) and before[4] + before[5] >= s:
+                                s, n = before[4], s + n - before[4]  # one range with the one before
+                                out.pop()
                             out.append((KNOWN, anchor, doc, nth, s, n, None))
                             continue
                         if len(seen) > SEEN:
@@ -379,7 +384,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), with_text: bool = Fa
     rows = _documents(docs)
     marks = covered(cut_segments(rows, repeated(anchor_places(rows, p), p), p), p)
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("nth", "start", "end")).alias("marks"))  # of one document
-    joined = rows.select("doc", "doc_id", "nth", "text").join(marks, "doc", "left")
+    joined = rows.select("doc", "nth", "text").join(marks, "doc", "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -399,9 +404,11 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), with_text: bool = Fa
                 rest = b"".join(kept)
                 out.append((len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
             n, removed, spans, digest, rest = zip(*out)
-            arrays = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest), pa.array(rest, pa.binary())]
+            doc = part.column("doc")
+            doc_id = pc.if_else(pc.equal(doc, NO_ID), pa.scalar(None, pa.int64()), doc)
+            arrays = [doc_id, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest), pa.array(rest, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").fields])
-    result = joined.select("doc_id", "nth", "text", "marks").mapInArrow(strip, schema)
+    schema = StructType([StructField("doc_id", LongType()), *StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").fields])
+    result = joined.select("doc", "nth", "text", "marks").mapInArrow(strip, schema)
     return result if with_text else result.drop("kept")
