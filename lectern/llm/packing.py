@@ -26,7 +26,7 @@ from ..session import cut_lineage
 from .base import slices, text_of
 
 WINDOW = 4096
-CACHED_WORDS = 1_200_000  # word -> ids of one Python worker; emptied when full, which costs time and changes nothing
+CACHED_WORDS = 350_000  # word -> ids of one Python worker (about 120 MB); emptied when full, which costs time and changes nothing
 
 
 def default_tokenizer() -> str:
