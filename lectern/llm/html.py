@@ -1,26 +1,29 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Tokens are block elements in their role: the path of block elements, with the words of class, id and role, that leads to
-them. A token's occurrence vector says how often it is on each page of its host; tokens with the same vector form an
-equivalence class. Vectors are compared by hashed sums, which are added up before they move, so a host with a third of all
-pages is a few rows per task. A class is valid if its tokens stand on at least half of the host's pages, once on each;
-valid classes nest by their paths, and the nested ones are the host's template. Its deepest element that can hold
-blocks and holds nine tenths of the host's text (without what the page itself marks as something else) is the content slot.
-
-A page's text is what fills the content slot, block by block; on a page without it, all blocks. Elements that are no text by
-their name (scripts, styles, forms, navigation, asides, footers, headers ...) or by a word of their class, id or role (adverts,
-notices, menus, sidebars, comments ...) are left out everywhere. Only these tables move: paths with sums, and one row per
-host, which pages are joined with; pages stay where they are unless there are more than ``BROADCAST_ROWS`` hosts.
-
-Null and empty pages have empty text. A page without a host shares the template of all such pages. Rows that repeat count
-each. An unclosed script or comment runs to the end of the page. Only page_id, url and html are read.
+Tokens are block elements in their role (the path of block elements, with the words of class, id and role, that leads to
+them) and the texts of blocks in the role of their element. A token's occurrence vector says how often it is on each page of
+its host; tokens with the same vector form an equivalence class. Vectors are compared by hashed sums, which are added up before
+they move. A class is frequent if it stands on at least half of the host's pages and on ``LEAST_PAGES``. Frequent classes nest
+by the paths of their elements. A text is template if an element around it has its vector: it stands wherever, and as often as,
+that part of the template does. So a sentence that many articles of a host share is no template, a notice with an element of its own is.
+
+A page's text is what fills the slots between the template's tokens: all its blocks but the template's texts. A host of fewer pages has
+no template. Besides, a fixed list marks elements that are no text by their name (scripts, styles, forms, navigation, asides,
+footers, headers ...) or by a word of their class, id or role (adverts, notices, menus, sidebars, comments ...): what varies from page
+to page in them no class can tell from text. They are left out everywhere, and nothing else is. Tokens move once with their
+page and once to be added up; pages stay where they are unless the templates have more than ``BROADCAST_ROWS`` texts.
+
+Null and empty pages have empty text. A page without a host shares the template of all such pages. Pages of a host with the same
+bytes count once in its template, and each has its row. An unclosed script or comment runs to the end of the page. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
-from .base import slices, text_of
+from .base import list_array, slices, text_of
 
-BROADCAST_ROWS = 1_000_000  # hosts, of a name and a number each
-MOST_TEXT, MOST_PAGES = 0.9, 0.5
+BROADCAST_ROWS = 1_000_000  # hosts, of a name and a number each, or texts of templates, of a number each
+LEAST_PAGES, MOST_PAGES = 3, 0.5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title)\b.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>|<(?P<close>/?+)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S | re.I)
 LABEL = re.compile(r"""\b(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
@@ -47,7 +50,6 @@ OTHER_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 CONTENT_NAMES = frozenset("html body main article".split())
-HOLDERS = frozenset("html body main article section div center table tbody tr td details".split())  # may be a content slot
 
 
 def is_other(name: str, words: list[str]) -> bool:
@@ -55,30 +57,33 @@ def is_other(name: str, words: list[str]) -> bool:
 
 
 class Page:
-    """The blocks of a page in order, and the block elements they stand in."""
+    """The blocks of a page in order, without what is something else by its marks, and the block elements they stand in."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, int, bool]] = []  # text, node, whether it is something else by its marks
-        self.parent, self.role, self.holds = [-1], [0], [True]  # of each node; a role is a hash of the path
+        self.blocks: list[tuple[str, int]] = []  # text, node
+        self.parent, self.role = [-1], [0]  # of each node; a role is a hash of the path
         self._text: list[str] = []
         self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, node, something else
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
-                self._text.append(entities.unescape(source[at : m.start()]))
+                self._run(source[at : m.start()])
             at = m.end()
             if (name := m["name"]) is not None:
                 self._tag(name.lower(), bool(m["close"]), m["attrs"])
-        self._text.append(entities.unescape(source[at:]))
+        self._run(source[at:])
         self._flush()
 
+    def _run(self, text: str) -> None:
+        self._text.append(entities.unescape(text))
+
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             self._text = []
-            if text:
-                _, node, other = self._stack[-1]
-                self.blocks.append((text, node, other))
+            _, node, other = self._stack[-1]
+            if text and not other:
+                self.blocks.append((text, node))
 
     def _pop_to(self, depth: int) -> None:
         if any(name in BLOCKS for name, _, _ in self._stack[depth:]):
@@ -114,34 +119,45 @@ class Page:
         if name in BLOCKS:
             self.parent.append(node)
             self.role.append(hash_of(self.role[node], name, words))
-            self.holds.append(name in HOLDERS)
             node = len(self.parent) - 1
         if name in BLOCKS or is_other(name, words):
             other = other or is_other(name, words)
         self._stack.append((name, node, other))
 
     def roles(self) -> tuple[np.ndarray, ...]:
-        """(role, depth, nodes, characters of text in or under them, whether they hold blocks) of each role of the page."""
-        size, depth = np.zeros(len(self.parent), np.int64), np.zeros(len(self.parent), np.int64)
-        for text, node, other in self.blocks:
-            if not other:
-                size[node] += len(text)
-        for node in range(len(self.parent) - 1, 0, -1):
-            size[self.parent[node]] += size[node]
+        """(role, role of the parent, depth, nodes) of each role of the page."""
+        depth = np.zeros(len(self.parent), np.int64)
         for node in range(1, len(self.parent)):
             depth[node] = depth[self.parent[node]] + 1
-        role, first, back = np.unique(np.array(self.role, np.int64), return_index=True, return_inverse=True)
-        return role, depth[first], np.bincount(back), np.bincount(back, size).astype(np.int64), np.array(self.holds)[first]
+        roles = np.array(self.role, np.int64)
+        role, first, back = np.unique(roles, return_index=True, return_inverse=True)
+        return role, roles[np.maximum(np.array(self.parent), 0)[first]], depth[first], np.bincount(back)
+
+    def texts(self) -> list[tuple[int, int]]:
+        """(token, role of its element) of each block."""
+        return [(text_hash(self.role[node], text), self.role[node]) for text, node in self.blocks]
+
+    def tokens(self) -> tuple[np.ndarray, ...]:
+        """(token, role around it, depth, how often, whether it is a text) of each token of the page."""
+        role, parent, depth, nodes = self.roles()
+        texts = Counter(self.texts())
+        n = np.fromiter(texts.values(), np.int64, len(texts))
+        token, around = np.array(list(texts), np.int64).reshape(-1, 2).T
+        return (
+            np.concatenate([role, token]), np.concatenate([parent, around]), np.concatenate([depth, depth[np.searchsorted(role, around)] + 1]),
+            np.concatenate([nodes, n]), np.arange(len(role) + len(n)) >= len(role),
+        )
+
+    def text(self, template: Iterable[int] | None) -> str:
+        """The blocks whose tokens are not texts of the ``template``."""
+        if not template:
+            return "\n".join(text for text, _ in self.blocks)
+        known = set(template)
+        return "\n".join(text for (text, _), (token, _) in zip(self.blocks, self.texts()) if token not in known)
 
-    def text(self, slot: int | None) -> str:
-        """The blocks under the node of role ``slot``, or all where the page has no such node."""
-        inside = [slot is not None and role == slot for role in self.role]
-        if any(inside):
-            for node in range(1, len(self.parent)):
-                inside[node] = inside[node] or inside[self.parent[node]]
-        else:
-            inside = [True] * len(self.parent)
-        return "\n".join(text for text, node, other in self.blocks if inside[node] and not other)
+
+def text_hash(role: int, text: str) -> int:
+    return int.from_bytes(blake2b(role.to_bytes(8, "little", signed=True) + text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def hash_of(parent: int, name: str, words: list[str]) -> int:
@@ -157,48 +173,75 @@ def _host(url: str) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, role, depth, pages, class_size): the template of each host, its valid tokens with the size of their class."""
-    rows = pages.select("page_id", _host("url").alias("host"), text_of(F.col("html")).alias("html"))
+    """(host, token, parent, depth, is_text, v1, v2, pages): the tokens of each host's frequent classes, with their vectors as two sums."""
+    rows = pages.select(_host("url").alias("host"), text_of(F.col("html")).alias("html")).withColumn("key", F.xxhash64("html"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            found = [Page(h).roles() for h in part.column("html").to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            arrays = [pa.array(np.concatenate([f[i] for f in found])) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([part.column("host").take(row), part.column("page_id").take(row), *arrays], names=["host", "page_id", "role", "depth", "n", "size", "holds"])
-
-    schema = StructType([StructField("host", rows.schema["host"].dataType), rows.schema["page_id"], *StructType.fromDDL("role bigint, depth bigint, n bigint, size bigint, holds boolean").fields])
-    token = rows.mapInArrow(tokens, schema)
-    cell = F.xxhash64("page_id", "n")  # of the occurrence vector; its sum over the pages stands for the vector
-    sums = token.groupBy("host", "role", "depth", "holds").agg(
-        F.sum(cell.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(cell, 32).bitwiseAND(F.lit(0x7FFFFFFF))).alias("v2"),
-        F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+            found = [Page(h).tokens() for h in part.column("html").to_pylist()]
+            lengths = np.array([len(f[0]) for f in found])
+            arrays = [list_array(np.concatenate([f[i] for f in found]), lengths) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("key"), *arrays], names=["host", "key", "token", "parent", "depth", "n", "is_text"])
+
+    lists = "key bigint, token array<bigint>, parent array<bigint>, depth array<bigint>, n array<bigint>, is_text array<boolean>"
+    schema = StructType([StructField("host", rows.schema["host"].dataType), *StructType.fromDDL(lists).fields])
+    distinct = rows.mapInArrow(tokens, schema).dropDuplicates(["host", "key"])
+    token = distinct.select("host", "key", F.inline(F.arrays_zip("token", "parent", "depth", "n", "is_text")))
+    cell = F.xxhash64("key", "n")  # of the occurrence vector; its sum over the pages stands for the vector
+    sums = token.groupBy("host", "token", "parent", "depth", "is_text").agg(
+        F.sum(cell.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(cell, 32).bitwiseAND(F.lit(0x7FFFFFFF))).alias("v2"), F.count(F.lit(1)).alias("pages"),
     )
-    sums = cut_lineage(sums)
-    whole = sums.where("depth = 0").select("host", F.col("pages").alias("all_pages"), F.col("size").alias("all_size"))
-    classes = sums.groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("class_size"))
-    valid = sums.join(whole, "host").where((F.col("n") == F.col("pages")) & (F.col("pages") >= MOST_PAGES * F.col("all_pages")))
-    return valid.join(classes, ["host", "v1", "v2"]).select("host", "role", "depth", "pages", "class_size", "size", "all_size", "holds")
-
-
-def slots(template: DataFrame) -> DataFrame:
-    """(host, slot): the deepest node of the template that holds most of the host's text."""
-    best = F.struct("depth", "size", "role")
-    return template.where(F.col("holds") & (F.col("size") > MOST_TEXT * F.col("all_size"))).groupBy("host").agg(F.max(best).alias("best")).select("host", F.col("best.role").alias("slot"))
+    sums = cut_lineage(sums.where(F.col("pages") >= LEAST_PAGES))
+    whole = sums.where("depth = 0").select("host", F.col("pages").alias("all_pages"))
+    few = whole.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sums.join(F.broadcast(whole) if few else whole, "host").where(F.col("pages") >= MOST_PAGES * F.col("all_pages")).drop("all_pages")
+
+
+def standing(tokens: list[dict]) -> list[int]:
+    """The texts among the frequent tokens of a host that have the vector of an element around them."""
+    vector = {t["token"]: (t["v1"], t["v2"]) for t in tokens if not t["is_text"]}
+    children, texts = defaultdict(list), defaultdict(list)
+    for t in tokens:
+        if t["is_text"]:
+            texts[t["parent"]].append((t["token"], (t["v1"], t["v2"])))
+        elif t["depth"]:
+            children[t["parent"]].append(t["token"])
+    around, found, todo = Counter(), [], [(0, 1)]  # vectors of the elements on the path to the present one
+    while todo:
+        role, step = todo.pop()
+        around[vector[role]] += step
+        if step > 0:
+            found += [token for token, v in texts[role] if around[v]]
+            todo.append((role, -1))
+            todo += [(child, 1) for child in children[role]]
+    return found
+
+
+def template_texts(template: DataFrame) -> DataFrame:
+    """(host, texts): the text tokens of each host's template, for hosts that have any. A host's frequent tokens are at most twice those of its average page."""
+    of_host = template.groupBy("host").agg(F.collect_list(F.struct("is_text", "token", "parent", "depth", "v1", "v2")).alias("tokens"), F.max("is_text").alias("some")).where("some").select("host", "tokens")
+
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if found := standing(batch.column("tokens")[i].as_py()):
+                    yield pa.RecordBatch.from_arrays([batch.column("host").slice(i, 1), list_array(np.array(found, np.int64), np.array([len(found)]))], names=["host", "texts"])
+
+    return of_host.mapInArrow(nest, StructType([of_host.schema["host"], *StructType.fromDDL("texts array<bigint>").fields]))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    slot = cut_lineage(slots(templates(pages)))
-    few = slot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = pages.select("page_id", "url", _host("url").alias("host"), text_of(F.col("html")).alias("html")).join(F.broadcast(slot) if few else slot, "host", "left")
+    known = cut_lineage(template_texts(templates(pages)))
+    few = (known.agg(F.sum(F.size("texts") + 1)).first()[0] or 0) <= BROADCAST_ROWS
+    rows = pages.select("page_id", "url", _host("url").alias("host"), text_of(F.col("html")).alias("html")).join(F.broadcast(known) if few else known, "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            texts = [Page(h).text(s) for h, s in zip(part.column("html").to_pylist(), part.column("slot").to_pylist())]
+            texts = [Page(h).text(t) for h, t in zip(part.column("html").to_pylist(), part.column("texts").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
     schema = StructType([rows.schema["page_id"], rows.schema["url"], *StructType.fromDDL("text string, n_chars bigint").fields])
-    return rows.select("page_id", "url", "html", "slot").mapInArrow(extract, schema)
+    return rows.select("page_id", "url", "html", "texts").mapInArrow(extract, schema)

@@ -139,3 +139,20 @@ def test_deeply_nested_page_is_linear():
     page = html.Page("<div>" * 20_000 + "deep" + "</div>" * 20_000)
     assert page.text(None) == "deep"
     assert len(page.roles()[0]) == 20_001
+
+
+def test_classes_decide_what_is_template(spark):
+    def page(i, body):
+        notice = "<div class='zq'><p>Stands alike</p></div>" if i % 5 < 3 else ""  # on six pages of ten
+        shared = "<p>A sentence that many articles share</p>" if i % 5 in (0, 1, 4) else ""
+        return f"<body><ul class='x1'><li>Home<li>About</ul>{notice}<div class='x2'><h2>T{i}</h2>{body}{shared}</div><div class='x3'>Made by us</div></body>"
+
+    rows = [(i, f"http://a.example/{i}", page(i, f"<p>Text {i}</p>")) for i in range(10)]
+    rows += [(20 + i, f"http://a.example/copy{i}", page(0, "<p>Text 0</p>")) for i in range(30)]  # the same bytes: one page of the template
+    rows += [(60 + i, f"http://b.example/{i}", "<div><p>Alike</p></div>") for i in range(9)] + [(70, "http://b.example/x", "<div><p>Alike</p><p>more</p></div>")]  # two different pages
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    for i in range(10):
+        assert got[i].split("\n") == [f"T{i}", f"Text {i}"] + ["A sentence that many articles share"] * (i % 5 in (0, 1, 4))
+    assert {got[20 + i] for i in range(30)} == {got[0]}
+    assert {got[60 + i] for i in range(9)} == {"Alike"} and got[70] == "Alike\nmore"
