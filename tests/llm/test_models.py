@@ -156,3 +156,10 @@ def test_classes_decide_what_is_template(spark):
         assert got[i].split("\n") == [f"T{i}", f"Text {i}"] + ["A sentence that many articles share"] * (i % 5 in (0, 1, 4))
     assert {got[20 + i] for i in range(30)} == {got[0]}
     assert {got[60 + i] for i in range(9)} == {"Alike"} and got[70] == "Alike\nmore"
+
+
+@pytest.mark.parametrize("n", [1, 2, 8])
+def test_title_and_lead_beside_a_body_stay(spark, n):
+    rows = [(i, f"http://a.example/{i}", f"<body><article><h1>Title {i}</h1><p>Lead {i}</p><div class='body'>{'long text ' * 100}{i}</div></article></body>") for i in range(n)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nLead {i}\n{'long text ' * 100}{i}" for i in range(n)}
