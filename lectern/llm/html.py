@@ -10,7 +10,7 @@ that part of the template does. So a sentence that many articles of a host share
 A page's text is what fills the slots between the template's tokens: all its blocks but the template's texts. A host of fewer pages has
 no template. Besides, a fixed list marks elements that are no text by their name (scripts, styles, forms, navigation, asides,
 footers, headers ...) or by a word of their class, id or role (adverts, notices, menus, sidebars, comments ...): what varies from page
-to page in them no class can tell from text. They are left out everywhere, and nothing else is. Tokens move once with their
+to page in them no class can tell from text. They are left out everywhere, inline ones too, and nothing else is. Tokens move once with their
 page and once to be added up; pages stay where they are unless the templates have more than ``BROADCAST_ROWS`` texts.
 
 Null and empty pages have empty text. A page without a host shares the template of all such pages. Pages of a host with the same
@@ -63,7 +63,7 @@ class Page:
         self.blocks: list[tuple[str, int]] = []  # text, node
         self.parent, self.role = [-1], [0]  # of each node; a role is a hash of the path
         self._text: list[str] = []
-        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, node, something else
+        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, node, whether it or an element around it is something else
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -75,15 +75,14 @@ class Page:
         self._flush()
 
     def _run(self, text: str) -> None:
-        self._text.append(entities.unescape(text))
+        self._text.append(" " if self._stack[-1][2] else entities.unescape(text))
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             self._text = []
-            _, node, other = self._stack[-1]
-            if text and not other:
-                self.blocks.append((text, node))
+            if text:
+                self.blocks.append((text, self._stack[-1][1]))
 
     def _pop_to(self, depth: int) -> None:
         if any(name in BLOCKS for name, _, _ in self._stack[depth:]):
@@ -120,9 +119,7 @@ class Page:
             self.parent.append(node)
             self.role.append(hash_of(self.role[node], name, words))
             node = len(self.parent) - 1
-        if name in BLOCKS or is_other(name, words):
-            other = other or is_other(name, words)
-        self._stack.append((name, node, other))
+        self._stack.append((name, node, other or is_other(name, words)))
 
     def roles(self) -> tuple[np.ndarray, ...]:
         """(role, role of the parent, depth, nodes) of each role of the page."""

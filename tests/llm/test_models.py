@@ -163,3 +163,16 @@ def test_title_and_lead_beside_a_body_stay(spark, n):
     rows = [(i, f"http://a.example/{i}", f"<body><article><h1>Title {i}</h1><p>Lead {i}</p><div class='body'>{'long text ' * 100}{i}</div></article></body>") for i in range(n)]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: f"Title {i}\nLead {i}\n{'long text ' * 100}{i}" for i in range(n)}
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<p>long paragraph <span class='related'>see also</p><p>next</p>", "long paragraph\nnext"),
+    ("<p>long <span class='related'>see <b>also</b><p>next", "long\nnext"),
+    ("<p>text <button>Subscribe</button> more</p>", "text more"),
+    ("<p>text<a class='ad'>Buy</a>more <i>still</i></p>", "text more still"),
+    ("<div>a <select><option>x<option>y</select> b</div>", "a b"),
+    ("<div>a <span class='ad'><p>Buy</p> now</span> b<p>c</p></div>", "a\nb\nc"),
+    ("<div class='ad'>x <b>y</b><p>z</p></div>w", "w"),
+])
+def test_inline_elements_that_are_something_else(source, text):
+    assert html.Page(source).text(None) == text
