@@ -17,7 +17,8 @@ comparisons (the number of links is asked for), in tasks of bounded size.
 
 Nulls and texts without words have no shingles: they are copies of each other without links. A text of one to four words has
 one shingle, all its words. Rows that repeat are copies. The class of a text is the smallest doc_id connected to it; sets
-that only rows without a doc_id have take a negative number made from their content. Only doc_id and text are read.
+that only rows without a doc_id have, or rows whose doc_id also stands on another set, take a negative number made from their content, and so does
+a class of such sets alone. Ids are below 2^62. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from .shingles import mixed, shingle_sets
 
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
 ONE = float(1 << 64)
+MADE_UP = 1 << 62  # names made from content are above it, ids below
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,12 @@ class Paths:
     block: int = 512  # and when whole sets are
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of hashes that name each set by its content."""
+    d1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return d1, np.array([mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+
 def samples(docs: DataFrame, p: Paths) -> DataFrame:
     """(id, d1, d2, n, sample): digest and size of each row's set, and the upper half of its sampled shingles, in order."""
     rows = docs.select(F.col("doc_id").alias("id"), text_of(F.col("text")).alias("text"))
@@ -63,8 +71,7 @@ def samples(docs: DataFrame, p: Paths) -> DataFrame:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text").to_pylist())
             kept = [s if len(s) <= p.sample else s[: np.searchsorted(s, np.uint64(p.sample / len(s) * ONE))] for s in sets]
-            d1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            d2 = np.array([mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            d1, d2 = digests(sets)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), list_array((np.concatenate(kept) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array([len(k) for k in kept]))],
                 names=["id", "d1", "d2", "n", "sample"],
@@ -231,27 +238,44 @@ def exact_links(rows: DataFrame, p: Paths) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, family, size, tokens) of the documents named in ``wanted`` (id, family, size), from their whole texts."""
+    """(id, family, size, tokens) of the sets in ``wanted`` (id, node, family, size, d1, d2), from their whole texts. Rows without an id are
+    found by the content of their sets."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").alias("id"), text_of(F.col("text")).alias("text")).join(F.broadcast(wanted) if few else wanted, "id")
+    texts = docs.select(F.col("doc_id").alias("id"), text_of(F.col("text")).alias("text"))
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "id").select("node", "family", "size", "d1", "text")
+    unnamed = wanted.where("id is null").drop("id")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            d1, d2 = digests(shingle_sets(part.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), part.column("text")], names=["d1", "d2", "text"])
+
+    if not unnamed.isEmpty():
+        known = texts.where("id is null").select("text").mapInArrow(digest, "d1 bigint, d2 bigint, text string")
+        rows = rows.unionByName(known.join(F.broadcast(unnamed) if few else unnamed, ["d1", "d2"]).select("node", "family", "size", "d1", "text"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text").to_pylist())
-            d1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            d1, _ = digests(sets)
             keep = np.flatnonzero(d1 == part.column("d1").to_numpy())  # an id may stand on several texts
             if len(keep):
                 part, sets = part.take(pa.array(keep)), [sets[i] for i in keep]
                 tokens = list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("family"), part.column("size"), tokens], names=["id", "family", "size", "tokens"])
 
-    return rows.select("node", "family", "size", "d1", "text").mapInArrow(take, "id bigint, family bigint, size bigint, tokens array<bigint>").dropDuplicates(["id"])
+    return rows.mapInArrow(take, "id bigint, family bigint, size bigint, tokens array<bigint>").dropDuplicates(["id"])
+
+
+def _shown(name: Column) -> Column:
+    """Made-up names are the largest numbers within, so that a class is named by an id if it has one, and negative in results."""
+    return F.when(name >= MADE_UP, -name).otherwise(name)
 
 
 def near_duplicates(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, rep_id (the smallest id with the same shingles), n_links (different texts at the threshold)."""
     rows = cut_lineage(samples(docs, p))
-    made_up = -F.abs(F.xxhash64("d1", "d2") % (1 << 40)) - (1 << 62)
+    made_up = F.xxhash64("d1", "d2").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(MADE_UP)
     of_set = cut_lineage(rows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("n").alias("n")).withColumn("node", F.coalesce(F.col("first").cast("long"), made_up)))
     # one row with the node's id has its set's sample; sets without an id are held by rows without one
     same = F.col("id").eqNullSafe(F.col("first"))
@@ -267,12 +291,12 @@ def near_duplicates(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     families = components(edges)
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     named = families.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("family"), "size")
-    wanted = cut_lineage(named.join(sets.select("id", "d1", "first"), "id").select(F.col("first").alias("id"), F.col("id").alias("node"), "family", "size", "d1"))
+    wanted = cut_lineage(named.join(sets.select("id", "d1", "d2", "first"), "id").select(F.col("first").alias("id"), F.col("id").alias("node"), "family", "size", "d1", "d2"))
     found = cut_lineage(exact_links(blocked(token_sets(docs, wanted), "family", F.col("size"), p.block), p))
     classes = components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "id")
     links = found.groupBy("id").agg(F.sum("links").alias("links")).join(classes, "id", "left")
     result = sets.select("d1", "d2", "id", "first").join(links, "id", "left")
-    named = result.select("d1", "d2", F.col("id").alias("rep_id"), F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    named = result.select("d1", "d2", _shown(F.col("id")).alias("rep_id"), _shown(F.coalesce("label", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     return rows.select(F.col("id").alias("doc_id"), "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "class_id", "rep_id", "n_links")
 
 

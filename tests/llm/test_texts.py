@@ -240,6 +240,18 @@ def test_near_duplicates(spark, paths):
     assert near.near_duplicates(docs.limit(0), paths).count() == 0
 
 
+def test_near_copies_without_an_id_count(spark):
+    words = [f"v{i}" for i in range(60)]
+    near_copy = lambda k: " ".join(words[:-1] + [f"end{k}"])
+    alone = lambda k: " ".join(f"u{i}" for i in range(40)) + f" end{k}"
+    rows = [(7, " ".join(words)), (9, near_copy(1)), (None, near_copy(2)), (None, near_copy(2) + " "), (None, near_copy(3)), (None, alone(1)), (None, alone(2)), (1, "far away")]
+    got = [(r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(table(spark, rows)).collect()]
+    assert sorted((c, n) for i, c, n in got if i is None and c >= 0) == [(7, 3)] * 3
+    assert {g for g in got if g[0] is not None} == {(7, 7, 3), (9, 7, 3), (1, 1, 0)}
+    left = [(c, n) for i, c, n in got if i is None and c < 0]
+    assert len(left) == 2 and len(set(left)) == 1 and left[0][1] == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 102), (101, 102), (7, 7), (200, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
