@@ -37,7 +37,7 @@ from .base import list_array, lists, runs, slices, text_of
 from .components import components
 from .shingles import mixed, shingle_sets
 
-BROADCAST_ROWS = 1_000_000  # ids of 8 bytes
+BROADCAST_ROWS = 1_000_000  # ids of 8 bytes, with the hash of a text or without
 ONE = float(1 << 64)
 MADE_UP = 1 << 62  # names made from content are above it, ids below
 
@@ -64,8 +64,8 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def samples(docs: DataFrame, p: Paths) -> DataFrame:
-    """(id, d1, d2, n, sample): digest and size of each row's set, and the upper half of its sampled shingles, in order."""
-    rows = docs.select(F.col("doc_id").alias("id"), text_of(F.col("text")).alias("text"))
+    """(id, key, d1, d2, n, sample): a hash of each row's text, digest and size of its set, and the upper half of its sampled shingles, in order."""
+    rows = docs.select(F.col("doc_id").alias("id"), text_of(F.col("text")).alias("text"), _key("text"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -73,11 +73,15 @@ def samples(docs: DataFrame, p: Paths) -> DataFrame:
             kept = [s if len(s) <= p.sample else s[: np.searchsorted(s, np.uint64(p.sample / len(s) * ONE))] for s in sets]
             d1, d2 = digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), list_array((np.concatenate(kept) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array([len(k) for k in kept]))],
-                names=["id", "d1", "d2", "n", "sample"],
+                [part.column("id"), part.column("key"), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), list_array((np.concatenate(kept) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array([len(k) for k in kept]))],
+                names=["id", "key", "d1", "d2", "n", "sample"],
             )
 
-    return rows.mapInArrow(take, StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("d1 bigint, d2 bigint, n bigint, sample array<int>").fields]))
+    return rows.mapInArrow(take, StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("key bigint, d1 bigint, d2 bigint, n bigint, sample array<int>").fields]))
+
+
+def _key(text: str) -> Column:
+    return F.xxhash64(text_of(F.col(text))).alias("key")
 
 
 def _unsigned(below: Column, limit: Column) -> Column:
@@ -274,14 +278,19 @@ def _shown(name: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, rep_id (the smallest id with the same shingles), n_links (different texts at the threshold)."""
+    return _found(docs, p).select("doc_id", "class_id", "rep_id", "n_links")
+
+
+def _found(docs: DataFrame, p: Paths) -> DataFrame:
+    """The rows of ``near_duplicates`` with the key of the text and the smallest (id, key) that has the same shingles."""
     rows = cut_lineage(samples(docs, p))
     made_up = F.xxhash64("d1", "d2").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(MADE_UP)
-    of_set = cut_lineage(rows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("n").alias("n")).withColumn("node", F.coalesce(F.col("first").cast("long"), made_up)))
+    of_set = cut_lineage(rows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key")))["key"].alias("first_key"), F.max("n").alias("n")).withColumn("node", F.coalesce(F.col("first").cast("long"), made_up)))
     # one row with the node's id has its set's sample; sets without an id are held by rows without one
     same = F.col("id").eqNullSafe(F.col("first"))
     sets = rows.join(of_set.drop("n"), ["d1", "d2"]).where(same).dropDuplicates(["d1", "d2"])
     # an id that stands on several texts names its sets by their content
-    sets = cut_lineage(sets.select("d1", "d2", "n", "sample", "first", "node"))
+    sets = cut_lineage(sets.select("d1", "d2", "n", "sample", "first", "first_key", "node"))
     twice = sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
     sets = sets.join(F.broadcast(twice).withColumn("again", F.lit(True)) if twice.limit(10_001).count() <= 10_000 else twice.withColumn("again", F.lit(True)), "node", "left")
     sets = cut_lineage(sets.withColumn("id", F.when(F.col("again"), made_up).otherwise(F.col("node"))).drop("again", "node"))
@@ -295,15 +304,26 @@ def near_duplicates(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     found = cut_lineage(exact_links(blocked(token_sets(docs, wanted), "family", F.col("size"), p.block), p))
     classes = components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "id")
     links = found.groupBy("id").agg(F.sum("links").alias("links")).join(classes, "id", "left")
-    result = sets.select("d1", "d2", "id", "first").join(links, "id", "left")
-    named = result.select("d1", "d2", _shown(F.col("id")).alias("rep_id"), _shown(F.coalesce("label", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select(F.col("id").alias("doc_id"), "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "class_id", "rep_id", "n_links")
+    result = sets.select("d1", "d2", "id", "first", "first_key").join(links, "id", "left")
+    named = result.select("d1", "d2", "first", "first_key", _shown(F.col("id")).alias("rep_id"), _shown(F.coalesce("label", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select(F.col("id").alias("doc_id"), "key", "d1", "d2").join(named, ["d1", "d2"]).drop("d1", "d2")
 
 
 def one_of_each(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
-    """The rows of ``docs``, as they are, whose id is the smallest of their class; rows without an id pass, as no class can name them."""
-    found = near_duplicates(docs, p).where("doc_id is not null")
-    stays = F.max((F.col("doc_id") == F.col("class_id")) | (F.col("class_id") < -(1 << 61)))
-    gone = cut_lineage(found.groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id"))
+    """The rows of ``docs``, as they are, one of each class: of the set that names the class, the row with the smallest id and key of its text.
+
+    Rows without an id pass, as no class can name them; a class that a set of such rows names keeps those only.
+    """
+    found = _found(docs, p).where("doc_id is not null")
+    stays = (F.col("rep_id") == F.col("class_id")) & (F.col("doc_id") == F.col("first")) & (F.col("key") == F.col("first_key"))
+    by_row = cut_lineage(found.groupBy("doc_id", "key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone, twice = by_row.where("not stays").select("doc_id", "key"), by_row.where("stays and n > 1").select("doc_id", "key")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_key", F.struct("doc_id", _key("text"))).join(F.broadcast(_as_key(gone)) if few else _as_key(gone), "_key", "left_anti")
+    if not twice.isEmpty():
+        rows = rows.join(_as_key(twice), "_key", "left_anti").unionByName(rows.join(_as_key(twice), "_key", "left_semi").dropDuplicates(["_key"]))
+    return rows.select(*docs.columns)
+
+
+def _as_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.struct("doc_id", "key").alias("_key"))

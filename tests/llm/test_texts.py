@@ -252,6 +252,15 @@ def test_near_copies_without_an_id_count(spark):
     assert len(left) == 2 and len(set(left)) == 1 and left[0][1] == 1
 
 
+def test_one_of_each_where_an_id_stands_on_two_texts(spark):
+    family = lambda w, k: " ".join([f"{w}{i}" for i in range(60)] + [f"end{k}"])
+    rows = [(20 + i, family("a", i)) for i in range(5)] + [(3, family("a", 9)), (3, "quite another text of some words"), (3, family("b", 1)), (4, family("b", 2)), (4, "one more text that is alone here")]
+    rows += [(50, family("c", 1)), (50, family("c", 1) + " "), (51, family("c", 2)), (60, "twice the same"), (60, "twice the same"), (None, family("a", 20))]
+    got = Counter((r.doc_id, r.text.split()[0][0], len(r.text.split())) for r in near.one_of_each(table(spark, rows)).collect())
+    assert sum(n for (i, w, size), n in got.items() if size == 61 and w == "b") == 1
+    assert got == Counter({(20, "a", 61): 1, (3, "q", 6): 1, (4, "o", 7): 1, (50, "c", 61): 1, (60, "t", 3): 1, (None, "a", 61): 1}) + Counter({k: n for k, n in got.items() if k[1] == "b"})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 102), (101, 102), (7, 7), (200, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
