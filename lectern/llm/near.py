@@ -100,13 +100,18 @@ def with_samples(members: DataFrame, sets: DataFrame) -> DataFrame:
     return of_set.join(sets.select("id", "n", "sample"), "id").select("id", "n", "sample", F.explode("paths").alias("path"))
 
 
-def alike_paths(members: DataFrame, sets: DataFrame, sizes: DataFrame, p: Paths) -> DataFrame:
-    """(path) of the buckets whose sets are alike on average: the share of pairs that choose the same token of their samples,
-    the one with the least hash, estimates their similarity."""
+def probed(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, path, token) of members (id, path): the token of the set's sample with the least hash on the path."""
     least = F.array_min(F.transform("sample", lambda t: F.struct(F.xxhash64(F.lit("probe"), "path", t).alias("h"))))
-    seen = with_samples(members, sets).select("path", least["h"].alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("m"))
-    pairs = seen.groupBy("path").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
-    return pairs.join(sizes, "path").where(F.col("pairs") >= p.alike * F.col("size") * F.col("size")).select("path")
+    return with_samples(members, sets).select("id", "path", least["h"].alias("token"))
+
+
+def alike_paths(seen: DataFrame, sizes: DataFrame, p: Paths) -> DataFrame:
+    """(path, size, main) of the buckets whose sets are alike on average: the share of pairs with the same probe token (``seen``) estimates
+    their similarity. The token that most sets have tells the main family."""
+    counts = seen.groupBy("path", "token").agg(F.count(F.lit(1)).alias("m"))
+    pairs = counts.groupBy("path").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"), F.max(F.struct("m", "token"))["token"].alias("main"))
+    return pairs.join(sizes, "path").where(F.col("pairs") >= p.alike * F.col("size") * F.col("size")).select("path", "size", "main")
 
 
 def next_paths(members: DataFrame, sets: DataFrame, p: Paths, level: int) -> DataFrame:
@@ -119,8 +124,9 @@ def next_paths(members: DataFrame, sets: DataFrame, p: Paths, level: int) -> Dat
 def leaves(sets: DataFrame, p: Paths) -> DataFrame:
     """(id, path, size): the buckets to brute-force, each of two sets at least.
 
-    A set of a large bucket of alike sets is in many of them with the same others, so it stays in ``stays`` of those only, by
-    a hash of the path: enough to connect the family, whose pairs are all compared later.
+    A set of the main family of large buckets of alike sets is in many of them with the same others, so it stays in ``stays`` of those
+    only, by a hash of the path: enough to connect the family, whose pairs are all compared later. Other sets of such a bucket,
+    with another probe token than most, stay in all.
     """
     members, found, families = cut_lineage(first_paths(sets, p)), None, None
     for level in range(1, p.depth + 1):
@@ -131,15 +137,15 @@ def leaves(sets: DataFrame, p: Paths) -> DataFrame:
         hot = sizes.where(F.col("size") > p.small)
         if level == p.depth or hot.isEmpty():
             break
-        hot_members = cut_lineage(sized.where(F.col("size") > p.small))
-        alike = cut_lineage(alike_paths(hot_members.drop("size"), sets, hot, p))
-        family = hot_members.join(alike, "path").select("id", "path", "size")
+        seen = cut_lineage(probed(sized.where(F.col("size") > p.small).select("id", "path"), sets))
+        alike = cut_lineage(alike_paths(seen, hot, p))
+        family = seen.join(alike, "path").select("id", "path", "size", (F.col("token") == F.col("main")).alias("main"))
         families = family if families is None else families.unionByName(family)
-        members = cut_lineage(next_paths(hot_members.join(alike, "path", "left_anti").drop("size"), sets, p, level))
+        members = cut_lineage(next_paths(seen.join(alike, "path", "left_anti").select("id", "path"), sets, p, level))
     if families is None:
         return found
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("path")))  # of the paths of one set
-    return found.unionByName(families.withColumn("nth", nth).where(F.col("nth") <= p.stays).drop("nth"))
+    nth = F.row_number().over(Window.partitionBy("id", "main").orderBy(F.xxhash64("path")))  # of the paths of one set
+    return found.unionByName(families.withColumn("nth", nth).where((F.col("nth") <= p.stays) | ~F.col("main")).drop("nth", "main"))
 
 
 def blocked(rows: DataFrame, key: str, size: Column, block: int) -> DataFrame:

@@ -261,6 +261,17 @@ def test_one_of_each_where_an_id_stands_on_two_texts(spark):
     assert got == Counter({(20, "a", 61): 1, (3, "q", 6): 1, (4, "o", 7): 1, (50, "c", 61): 1, (60, "t", 3): 1, (None, "a", 61): 1}) + Counter({k: n for k, n in got.items() if k[1] == "b"})
 
 
+def test_sets_unlike_the_main_family_stay_in_all_buckets(spark):
+    common = list(range(1, 97))
+    rows = [(i, 96, common) for i in range(20)] + [(100 + i, 96, common[:24] + list(range(1000 * i + 1000, 1000 * i + 1072))) for i in range(4)]
+    sets = spark.createDataFrame(rows, "id bigint, n bigint, sample array<int>")
+    p = near.Paths(small=8, stays=1)
+    large = Counter(r.id for r in near.leaves(sets, p).where("size > 8").collect())
+    first = Counter(r.id for r in near.first_paths(sets, p).where(F.col("path").isin(common)).collect())
+    assert [large[i] for i in range(20)] == [1] * 20
+    assert sum(first[100 + i] for i in range(4)) > 8 and sum(large[100 + i] for i in range(4)) > 6
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 102), (101, 102), (7, 7), (200, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
