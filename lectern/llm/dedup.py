@@ -156,15 +156,22 @@ def verified(found: DataFrame, docs: DataFrame, id_column: str, text_column: str
     """The rows of ``found`` (digest, id, old_id) whose two texts are the same bytes.
 
     Only the texts of these ids are needed: few ids are sent to the tasks, so that no text moves for the others; many are joined.
+    Texts of rows without an id are found by their digests.
     """
-    ids = found.select(F.explode(F.array("id", "old_id")).alias("want")).distinct()
+    ids = found.select(F.explode(F.array("id", "old_id")).alias("want")).where("want is not null").distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_column).alias("want"), normalised(F.col(text_column)).alias("body"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "want", "left_semi")
-    texts = texts.withColumn("digest", F.unhex(F.sha2("body", 256))).dropDuplicates(["want", "digest"])
-    new = found.join(texts.withColumnRenamed("want", "id"), ["id", "digest"])
-    old = texts.select(F.col("want").alias("old_id"), "digest", F.col("body").alias("old_body"))
-    return new.join(old, ["old_id", "digest"]).where("body = old_body").select("digest")
+    rows = docs.select(F.col(id_column).alias("want"), normalised(F.col(text_column)).alias("body"))
+    digest = F.unhex(F.sha2("body", 256)).alias("digest")
+    texts = rows.join(F.broadcast(ids) if few else ids, "want", "left_semi").select("want", "body", digest)
+    unnamed = found.where("id is null or old_id is null").select("digest")
+    if not unnamed.isEmpty():
+        few = unnamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        texts = texts.unionByName(rows.where("want is null").select("want", "body", digest).join(F.broadcast(unnamed) if few else unnamed, "digest", "left_semi"))
+    texts = texts.dropDuplicates(["want", "digest"])
+    new = texts.select(F.col("want").alias("_id"), F.col("digest").alias("_digest"), "body")
+    new = found.join(new, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))).drop("_id", "_digest")
+    old = texts.select(F.col("want").alias("_id"), F.col("digest").alias("_digest"), F.col("body").alias("old_body"))
+    return new.join(old, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("old_id").eqNullSafe(F.col("_id"))).where("body = old_body").select("digest")
 
 
 def exact_duplicates(docs: DataFrame, is_snapshot: Column | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

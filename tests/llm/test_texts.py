@@ -194,6 +194,15 @@ def test_exact_duplicates(spark, split):
     assert dedup.exact_duplicates(docs.limit(0), dedup.older_half(docs)).count() == 0
 
 
+def test_exact_copies_without_an_id_of_a_snapshot_text(spark):
+    rows = [(1, "a b"), (2, "c"), (3, "d"), (None, "a  b"), (None, "a b"), (None, "e"), (30, "d"), (40, "f"), (None, "f")]
+    for snapshot in (F.col("doc_id") <= 10, F.col("doc_id").isNull(), F.col("text").isin("a  b", "e")):
+        docs = table(spark, rows)
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup.exact_duplicates(docs, snapshot).collect())
+        assert got == Counter([(1, 1, 3, True), (None, 1, 3, False), (None, 1, 3, False), (2, 2, 1, True), (3, 3, 2, True), (30, 3, 2, False), (None, None, 1, True), (40, 40, 2, True), (None, 40, 2, False)])
+        assert dedup.unique_rows(docs, snapshot).count() == 5
+
+
 # near duplicates
 
 
