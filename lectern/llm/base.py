@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 4_000_000  # characters of text that a Python task works on at once; one longer text is a batch of its own
+BATCH_CHARS = 2_000_000  # characters of text that a Python task works on at once; one longer text is a batch of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +71,59 @@ def lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+
+
+LONG_WORD = 64  # characters; longer words are worked out each time they come
+ENTRY_BYTES = 200  # of a remembered word besides its letters and its value, about
+
+
+class Recent:
+    """Values of words, bounded in bytes, in two generations.
+
+    When the young generation has half of the bytes, it becomes the old one and the old one is dropped; a word of the old one
+    that comes again is carried over. So what is met often stays, and a full store costs only what was not met for long.
+    ``young`` may be read for all words that ``unknown`` was asked about and that are not long.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.bytes = limit, 0
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def put(self, word: str, value: Any) -> None:
+        self.young[word] = value
+        self.bytes += ENTRY_BYTES + len(word) + (len(value) if isinstance(value, bytes) else 0)
+
+    def unknown(self, words: Iterable[str]) -> list[str]:
+        new, young, old = [], self.young, self.old
+        for w in words:
+            if w in young:
+                continue
+            value = old.get(w)
+            if value is None:
+                new.append(w)
+            else:
+                self.put(w, value)
+        return new
+
+    def turn(self) -> None:
+        """Between batches: let the generations move on if the young one is full."""
+        if 2 * self.bytes > self.limit:
+            self.old, self.young, self.bytes = self.young, {}, 0
+
+
+def giving_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same map over batches; at its end, what it no longer uses goes back to the system, since idle Python workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run

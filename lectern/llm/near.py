@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
-from .base import list_array, lists, runs, slices, text_of
+from .base import giving_back, list_array, lists, runs, slices, text_of
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -77,7 +77,7 @@ def samples(docs: DataFrame, p: Paths) -> DataFrame:
                 names=["id", "key", "d1", "d2", "n", "sample"],
             )
 
-    return rows.mapInArrow(take, StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("key bigint, d1 bigint, d2 bigint, n bigint, sample array<int>").fields]))
+    return rows.mapInArrow(giving_back(take), StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("key bigint, d1 bigint, d2 bigint, n bigint, sample array<int>").fields]))
 
 
 def _key(text: str) -> Column:
@@ -219,7 +219,7 @@ def candidate_edges(rows: DataFrame, p: Paths) -> DataFrame:
                 if len(tied):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[low[tied]])], names=["a", "b"])
 
-    return rows.select("pair", "id", "n", "side", "sample").repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a bigint, b bigint")
+    return rows.select("pair", "id", "n", "side", "sample").repartition("pair").sortWithinPartitions("pair").mapInArrow(giving_back(compare), "a bigint, b bigint")
 
 
 def exact_links(rows: DataFrame, p: Paths) -> DataFrame:
@@ -244,7 +244,7 @@ def exact_links(rows: DataFrame, p: Paths) -> DataFrame:
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[low[some]])], names=["id", "links", "low"])
 
-    return rows.select("pair", "id", "side", "tokens").repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "id bigint, links bigint, low bigint")
+    return rows.select("pair", "id", "side", "tokens").repartition("pair").sortWithinPartitions("pair").mapInArrow(giving_back(compare), "id bigint, links bigint, low bigint")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 tokens = list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("family"), part.column("size"), tokens], names=["id", "family", "size", "tokens"])
 
-    return rows.mapInArrow(take, "id bigint, family bigint, size bigint, tokens array<bigint>").dropDuplicates(["id"])
+    return rows.mapInArrow(giving_back(take), "id bigint, family bigint, size bigint, tokens array<bigint>").dropDuplicates(["id"])
 
 
 def _shown(name: Column) -> Column:

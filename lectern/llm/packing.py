@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
-from .base import slices, text_of
+from .base import LONG_WORD, Recent, giving_back, slices, text_of
 
 WINDOW = 4096
-CACHED_WORDS = 350_000  # word -> ids of one Python worker (about 120 MB); emptied when full, which costs time and changes nothing
+CACHED_BYTES = 160 << 20  # of words and their ids in one Python worker
 
 
 def default_tokenizer() -> str:
@@ -53,10 +53,8 @@ class WordIds:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[str, bytes] = {"": b"", **dict(zip(".,", self._encode([".", ","])))}
+        self.marks = dict(zip(".,", self._encode([".", ","])))
+        self.words = Recent(CACHED_BYTES)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,40 +67,43 @@ class WordIds:
         raw, at = ids.tobytes(), (np.r_[0, ends] * self.dtype.itemsize).tolist()
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def _learn(self, new: set[str]) -> None:
-        words, letters, other, made = self.words, set(), [], []
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words; those of lower-case letters are worked out together, others are made of them or encoded alone."""
+        learned: dict[str, bytes] = {"": b""}
+        letters, other, made = set(), [], []
         for w in new:
-            base, mark = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            base, mark = (w[:-1], w[-1]) if w and w[-1] in ".," else (w, "")
             if not base.isalpha():
                 other.append(w)
                 continue
             low = base.lower() if base.isascii() else base
-            if low not in words:
-                letters.add(low)
+            letters.add(low)
             if low != w:
                 made.append((w, low, mark))
-        todo = list(letters)
-        for i in range(0, len(todo), 5_000):
-            words.update(zip(todo[i : i + 5_000], self._encode_letters(todo[i : i + 5_000])))
-        for i in range(0, len(other), 5_000):
-            words.update(zip(other[i : i + 5_000], self._encode(other[i : i + 5_000])))
+        for words, encode in ((self.words.unknown(letters), self._encode_letters), (other, self._encode)):
+            for i in range(0, len(words), 5_000):
+                learned.update(zip(words[i : i + 5_000], encode(words[i : i + 5_000])))
+        young = self.words.young
         for w, low, mark in made:
-            words[w] = words[low] + words[mark]
+            ids = learned[low] if low in learned else young[low]
+            learned[w] = ids + self.marks[mark] if mark else ids
+        for w, ids in learned.items():
+            if len(w) <= LONG_WORD:
+                self.words.put(w, ids)
+        return learned
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
-        if len(self.words) > CACHED_WORDS:
-            self._forget()
-        get, new = self.words.get, set()
+        self.words.turn()
+        get, new = self.words.young.get, set()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         ids = [list(map(get, ws)) for ws in split]
         for ws, found in zip(split, ids):
             if None in found:
                 new.update([w for w, x in zip(ws, found) if x is None])
-        if new:
-            self._learn(new)
-        return [b"".join(map(get, ws) if None in found else found) for ws, found in zip(split, ids)]
+        learned = self._learn(self.words.unknown(new)) if new else {}
+        return [b"".join([learned[w] if (x := get(w)) is None else x for w in ws] if None in found else found) for ws, found in zip(split, ids)]
 
 
 @lru_cache(1)
@@ -129,7 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
             )
 
     out = StructType([rows.schema["id"], *StructType.fromDDL("n_tokens bigint, width int, ids binary").fields])
-    return rows.mapInArrow(encode, out)
+    return rows.mapInArrow(giving_back(encode), out)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 2, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

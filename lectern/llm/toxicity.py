@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .base import slices, text_of
+from .base import LONG_WORD, Recent, giving_back, slices, text_of
 
 WORD = re.compile(r"\w+")
-CACHED_WORDS = 500_000
+CACHED_BYTES = 96 << 20  # of words and their values in one task
 
 
 @dataclass(frozen=True)
@@ -216,17 +216,20 @@ class Scorer:
     """Scores whole texts; remembers the values of words."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known = model, Recent(CACHED_BYTES)
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         words = [WORD.findall((t or "").lower()) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
+        self.known.turn()
+        new, values = self.known.unknown({w for ws in words for w in ws}), {}
         for i in range(0, len(new), 50_000):
-            known.update(zip(new[i : i + 50_000], self.model.of_words(new[i : i + 50_000]).tolist()))
-        return [self.model.score(np.array([known[w] for w in ws])) for ws in words]
+            for w, value in zip(new[i : i + 50_000], self.model.of_words(new[i : i + 50_000]).tolist()):
+                if len(w) > LONG_WORD:
+                    values[w] = value
+                else:
+                    self.known.put(w, value)
+        young = self.known.young
+        return [self.model.score(np.array([young[w] if w in young else values[w] for w in ws])) for ws in words]
 
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
@@ -255,7 +258,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             flags = [int(x >= shared.value.settings.threshold) for x in scores]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(predict, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL("score double, predicted int").fields]))
+    return rows.mapInArrow(giving_back(predict), StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL("score double, predicted int").fields]))
 
 
 def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -268,4 +271,4 @@ def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
         for part in slices(batches, text_column):
             yield part.filter(pa.array([x < shared.value.settings.threshold for x in score_of(part.column(text_column).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(giving_back(keep), docs.schema)

@@ -389,3 +389,27 @@ def test_syncmers_by_hand(spark):
     want = [r.v for r in spark.createDataFrame([(n, h[i : i + k], g) for n, (i, g) in enumerate(zip(chosen, gaps))], "n int, a array<bigint>, g int").select("n", F.xxhash64("a", "g").alias("v")).orderBy("n").collect()]
     got = spark.createDataFrame([(" ".join(words),)], "t string").select(fingerprint.anchors(F.col("t")).alias("x")).first().x
     assert got == want
+
+
+def test_words_are_remembered_within_bytes(monkeypatch):
+    rng = np.random.default_rng(11)
+    path = packing.default_tokenizer()
+    texts_ = [" ".join("".join(rng.choice(list("abcdeé1.,"), int(rng.integers(1, 9)))) for _ in range(200)) for _ in range(60)]
+    texts_ += ["x" * 2_000 + " y " + "Zé" * 1_000 + ". the cat, The cat."] * 3
+    monkeypatch.setattr(packing, "CACHED_BYTES", 200_000)
+    small = packing.WordIds(path)
+    want = packing.WordIds(path, by_word=False)(texts_)
+    assert [x for t in texts_ for x in small([t])] == want  # generations turn many times
+    assert small.words.bytes <= 200_000 and len(small.words.old) + len(small.words.young) < 2_000
+    assert small([" ".join("w" * 2_000 + str(i) for i in range(500))]) and max(map(len, small.words.young)) <= 64
+
+
+def test_recent_keeps_what_comes_again():
+    from lectern.llm.base import ENTRY_BYTES, Recent
+
+    recent = Recent(20 * ENTRY_BYTES)
+    for i in range(100):
+        recent.turn()
+        for w in recent.unknown(["often", f"w{i}"]):
+            recent.put(w, i)
+    assert recent.young["often"] == 0 and len(recent.young) + len(recent.old) < 30
