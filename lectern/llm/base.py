@@ -112,10 +112,25 @@ class Recent:
             self.old, self.young, self.bytes = self.young, {}, 0
 
 
-def giving_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same map over batches; at its end, what it no longer uses goes back to the system, since idle Python workers live on."""
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(make: Callable[..., Any], *args: Any) -> Any:
+    """``make(*args)``, kept by this Python worker over its tasks until another such object, or a map that keeps none, takes its place."""
+    key = make.__module__, make.__qualname__, args
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(*args)
+    return _KEPT[key]
+
+
+def giving_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same map over batches; what it no longer uses goes back to the system at its end, since idle Python workers live on.
+    Unless it ``keeps`` an object itself, what an earlier map kept goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _KEPT.clear()
         try:
             yield from fn(batches)
         finally:

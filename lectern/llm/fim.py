@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .base import slices, text_of
+from .base import giving_back, slices, text_of
 
 LOW_BITS = 16
 SPAN = 1 << LOW_BITS  # offsets of a container
@@ -163,7 +163,7 @@ def fill_in_middle(docs: DataFrame, how: Fim = Fim(), id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
     fields = StructType.fromDDL("n bigint, form string, prefix_chars bigint, middle_chars bigint, output string").fields
-    return rows.mapInArrow(cut, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *fields]))
+    return rows.mapInArrow(giving_back(cut), StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *fields]))
 
 
 def restored(output: Column, form: Column, how: Fim = Fim()) -> Column:

@@ -13,7 +13,6 @@ their own. Only the id and text columns are read, so further columns may have an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
-from .base import LONG_WORD, Recent, giving_back, slices, text_of
+from .base import LONG_WORD, Recent, giving_back, kept, slices, text_of
 
 WINDOW = 4096
 CACHED_BYTES = 160 << 20  # of words and their ids in one Python worker
@@ -96,20 +95,16 @@ class WordIds:
         if not self.by_word:
             return self._encode(texts)
         self.words.turn()
-        get, new = self.words.young.get, set()
+        young, new = self.words.young, set()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(get, ws)) for ws in split]
-        for ws, found in zip(split, ids):
-            if None in found:
-                new.update([w for w, x in zip(ws, found) if x is None])
+        ids = [list(map(young.get, ws)) for ws in split]
+        short = [i for i, found in enumerate(ids) if None in found]
+        for i in short:
+            new.update([w for w, x in zip(split[i], ids[i]) if x is None])
         learned = self._learn(self.words.unknown(new)) if new else {}
-        return [b"".join([learned[w] if (x := get(w)) is None else x for w in ws] if None in found else found) for ws, found in zip(split, ids)]
-
-
-@lru_cache(1)
-def word_ids(path: str, by_word: bool) -> WordIds:
-    """One per Python worker, kept over its tasks."""
-    return WordIds(path, by_word)
+        for i in short:
+            ids[i] = [x if x is not None else young[w] if w in young else learned[w] for w, x in zip(split[i], ids[i])]
+        return [b"".join(found) for found in ids]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -120,7 +115,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = word_ids(tokenizer, by_word)
+        ids_of = kept(WordIds, tokenizer, by_word)
         end, width = np.array([end_id], ids_of.dtype).tobytes(), ids_of.dtype.itemsize
         for part in slices(batches, "text"):
             ids = [x + end for x in ids_of(part.column("text").to_pylist())]
@@ -130,7 +125,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
             )
 
     out = StructType([rows.schema["id"], *StructType.fromDDL("n_tokens bigint, width int, ids binary").fields])
-    return rows.mapInArrow(giving_back(encode), out)
+    return rows.mapInArrow(giving_back(encode, keeps=True), out)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 2, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -27,7 +27,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .base import slices, text_of
+from .base import giving_back, kept, slices, text_of
 
 WINDOW_BYTES = 1 << 20  # bytes of text that are walked at once
 CHUNK = 64  # code points of a chunk of the splitter
@@ -427,12 +426,6 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[a:]
 
 
-@lru_cache(1)
-def token_counter(path: str) -> TokenCounter:
-    """One per Python worker, kept over its tasks."""
-    return TokenCounter(path)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -445,11 +438,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_column: str =
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(F.col(text_column)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = token_counter(path)
+        counter = kept(TokenCounter, path)
         for part in slices(batches, "text"):
             texts = part.column("text").cast(pa.binary()).to_pylist()
             columns = [part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(counter.counts(texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     fields = StructType.fromDDL("n_bytes bigint, n_tokens bigint").fields
-    return rows.mapInArrow(count, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *fields]))
+    return rows.mapInArrow(giving_back(count, keeps=True), StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *fields]))
