@@ -28,6 +28,7 @@ CITATION = table(index=INT, chunk_id=TEXT, file_path=TEXT, heading_text=TEXT, ch
 
 FILES = table(file_path=TEXT, file_hash=TEXT, source_mtime=LONG, file_size=LONG, text=TEXT)
 PATHS = table(file_path=TEXT, file_hash=TEXT, source_mtime=LONG, observed_at=LONG, seq=LONG, tombstone=FLAG)
+REFS = table(file_hash=TEXT, file_path=TEXT, seq=LONG, tombstone=FLAG)
 CONTENT = table(
     file_hash=TEXT, file_size=LONG, chunking_version=LONG, parser_version=LONG, indexed_at=LONG, status=TEXT,
     error_message=TEXT, summary=TEXT, summary_model_id=TEXT, embedding_model_id=TEXT, embedding_error=TEXT,

@@ -36,12 +36,12 @@ def compact(log: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     return latest(log, key, seq)
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
+def write_version(df: DataFrame, root: str, version: int, partition_by: str | None = None) -> str:
     """CDC-12: write a compacted table as a new version directory and return its path.
 
     The old version stays readable until the caller moves its pointer, so a failed or repeated run
     leaves nothing half-replaced.
     """
     path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
     return path
