@@ -3,24 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
-from lectern import schemas, session, sources, udfs
+from lectern import schemas, sources, udfs
 from lectern.functions import text
 from lectern.operators import conversations, generation, lexical, summaries
 
 from .registry import query
 from .retrieval import DIGITS, summarised
-from .views import NOTEBOOKS, SQL_VIEWS, Views, blank_sql, trim_sql
-
-
-def shared_folder(v: Views) -> str:
-    """A new folder below the cluster's shared one; a temporary one where it names none."""
-    base = session.shared_folder(v.spark)
-    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lectern-")
+from .views import NOTEBOOKS, SQL_VIEWS, Views, blank_sql, shared_folder, trim_sql
 
 
 @query("sum1_scoped_content", "SELECT file_hash FROM v_content WHERE status = 'ok' AND file_hash IN (SELECT file_hash FROM v_scoped WHERE notebook_id = 'nb1')")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import udfs
-from lectern.operators import context, conversations, fusion, lexical, vector
+from lectern.operators import context, conversations, fusion, lexical, term_index, vector
+from lectern.plans.index import build_term_index
 from lectern.plans.search import chat_context, hybrid_search
 from lectern.session import cut_lineage
 
 from .registry import query
-from .views import SQL_VIEWS, Views, tokens_sql, trim_sql
+from .views import SQL_VIEWS, Views, shared_folder, tokens_sql, trim_sql
 
 DIGITS, RRF_DIGITS = 6, 9
 FULL = lexical.Bm25(digits=DIGITS)
@@ -53,6 +54,23 @@ def lex1(v: Views):
     return v.postings
 
 
+def indexed(v: Views, run_rows: int = term_index.RUN_ROWS):
+    """The chunks' index by term, written and read back: its dictionary and postings. Terms over ``run_rows`` postings lie in several buckets."""
+    root = f"{shared_folder(v)}/terms"
+    build_term_index(v.chunks, root, run_rows=run_rows)
+    return term_index.read_dictionary(v.spark, root), term_index.read_postings(v.spark, root)
+
+
+@query("lex1_dictionary", "SELECT field, term, df, df AS n_postings, true AS in_place FROM v_lex_df")
+def lex1_dictionary(v: Views):
+    dictionary, postings = indexed(v, run_rows=300)
+    here = F.pmod(F.col("at") - F.col("bucket"), F.col("buckets")) < F.col("slices")
+    return (
+        postings.withColumnRenamed("bucket", "at").join(dictionary, ["field", "term"])
+        .groupBy("field", "term", "df").agg(F.count(F.lit(1)).alias("n_postings"), F.bool_and(here).alias("in_place"))
+    )
+
+
 @query("lex2_corpus_stats", "SELECT field, n_docs, round(avg_len, 6) AS avg_len FROM v_lex_corpus")
 def lex2(v: Views):
     return v.corpus.select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"))
@@ -87,6 +105,17 @@ def lex6(v: Views):
     return lexical.search_topk(v.q, v.postings, v.corpus, 50, FULL)
 
 
+@query("lex4_expand_prefix_dictionary", "SELECT * FROM v_lex_prefix")
+def lex4_dictionary(v: Views):
+    return lexical.expand_prefix(lexical.query_terms(v.q), indexed(v)[0].select("term").distinct())
+
+
+@query("lex6_search_term_index", "SELECT * FROM v_lex_all_hits")
+def lex6_term_index(v: Views):
+    dictionary, postings = indexed(v, run_rows=300)
+    return lexical.search_topk(v.q, postings, v.corpus, 50, FULL, dictionary=dictionary)
+
+
 def scoped_content(v: Views):
     return v.content.withColumn("expected_version", F.when(F.col("lang") != "fr", 2))
 

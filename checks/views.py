@@ -6,11 +6,14 @@ labels), and every view covers its whole table.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.functions import scope, text
 from lectern.operators import chunking, lexical
 
@@ -233,3 +236,9 @@ class Views:
     @cached_property
     def corpus(self) -> DataFrame:
         return lexical.corpus_stats(lexical.doc_stats(self.chunks))
+
+
+def shared_folder(v: Views) -> str:
+    """A new folder below the cluster's shared one; a temporary one where it names none."""
+    base = session.shared_folder(v.spark)
+    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lectern-")
