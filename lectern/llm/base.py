@@ -30,6 +30,14 @@ def text_of(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that no column of ``docs`` has, in whatever case: ``name`` with as many underscores as that takes."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in the same order, cut so that each slice has about ``limit`` bytes of text at most."""
     for batch in batches:

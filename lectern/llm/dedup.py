@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import text_of
+from .base import free_name, text_of
 
 SHARD_ROWS = 50_000  # about so many digests in a filter
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes: up to so many are sent to the tasks, more are joined by a shuffle
@@ -212,17 +212,21 @@ def older_half(docs: DataFrame, id_column: str = "doc_id") -> Column:
 
 
 def unique_rows(docs: DataFrame, is_snapshot: Column | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, that stay; of rows that repeat with the same id and text, one."""
+    """The rows of ``docs``, as they are, that stay; of rows that repeat with the same id and text, one.
+
+    Further columns may have any names. An empty table gives an empty one.
+    """
     found = exact_duplicates(docs, is_snapshot, id_column, text_column)
-    named = found.select(_row_name(F.col("doc_id"), F.col("text_sha256")).alias("_row"), "kept")
-    by_row = cut_lineage(named.groupBy("_row").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    gone, twice = by_row.where("not kept").select("_row"), by_row.where("kept and n > 1").select("_row")
-    rows = docs.select("*", _row_name(F.col(id_column), F.sha2(normalised(F.col(text_column)), 256)).alias("_row"))
+    row = free_name(docs, "_row")
+    named = found.select(_row_name(F.col("doc_id"), F.col("text_sha256")).alias(row), "kept")
+    by_row = cut_lineage(named.groupBy(row).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone, twice = by_row.where("not stays").select(row), by_row.where("stays and n > 1").select(row)
+    rows = docs.withColumn(row, _row_name(F.col(id_column), F.sha2(normalised(F.col(text_column)), 256)))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti")
+    rows = rows.join(F.broadcast(gone) if few else gone, row, "left_anti")
     if not twice.isEmpty():
-        rows = rows.join(twice, "_row", "left_anti").unionByName(rows.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
-    return rows.select(*[rows[c] for c in docs.columns])
+        rows = rows.join(twice, row, "left_anti").unionByName(rows.join(twice, row, "left_semi").dropDuplicates([row]))
+    return rows.drop(row)
 
 
 def _row_name(doc_id: Column, digest: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
-from .base import giving_back, list_array, lists, runs, slices, text_of
+from .base import free_name, giving_back, list_array, lists, runs, slices, text_of
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -319,17 +319,21 @@ def one_of_each(docs: DataFrame, p: Paths = Paths()) -> DataFrame:
     """The rows of ``docs``, as they are, one of each class: of the set that names the class, the row with the smallest id and key of its text.
 
     Rows without an id pass, as no class can name them; a class that a set of such rows names keeps those only.
+    Further columns may have any names. An empty table gives an empty one.
     """
     found = _found(docs, p).where("doc_id is not null")
     stays = (F.col("rep_id") == F.col("class_id")) & (F.col("doc_id") == F.col("first")) & (F.col("key") == F.col("first_key"))
     by_row = cut_lineage(found.groupBy("doc_id", "key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")))
     gone, twice = by_row.where("not stays").select("doc_id", "key"), by_row.where("stays and n > 1").select("doc_id", "key")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.withColumn("_key", F.struct("doc_id", _key("text"))).join(F.broadcast(_as_key(gone)) if few else _as_key(gone), "_key", "left_anti")
+    key = free_name(docs, "_key")
+    rows = docs.withColumn(key, F.struct("doc_id", _key("text")))
+    rows = rows.join(F.broadcast(_as_key(gone, key)) if few else _as_key(gone, key), key, "left_anti")
     if not twice.isEmpty():
-        rows = rows.join(_as_key(twice), "_key", "left_anti").unionByName(rows.join(_as_key(twice), "_key", "left_semi").dropDuplicates(["_key"]))
-    return rows.select(*docs.columns)
+        again = _as_key(twice, key)
+        rows = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+    return rows.drop(key)
 
 
-def _as_key(rows: DataFrame) -> DataFrame:
-    return rows.select(F.struct("doc_id", "key").alias("_key"))
+def _as_key(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.struct("doc_id", "key").alias(name))

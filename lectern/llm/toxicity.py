@@ -262,13 +262,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 
 def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, whose text scores below the threshold."""
+    """The rows of ``docs``, as they are, whose text scores below the threshold; rows that repeat are each judged.
 
+    Further columns may have any names. An empty table gives an empty one.
+    """
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # maps over batches take no names with dots
+    text = f"c{docs.columns.index(text_column)}"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = Scorer(shared.value)
-        for part in slices(batches, text_column):
-            yield part.filter(pa.array([x < shared.value.settings.threshold for x in score_of(part.column(text_column).to_pylist())], pa.bool_()))
+        for part in slices(batches, text):
+            yield part.filter(pa.array([x < shared.value.settings.threshold for x in score_of(part.column(text).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(giving_back(keep), docs.schema)
+    return numbered.mapInArrow(giving_back(keep), numbered.schema).toDF(*docs.columns)
