@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import scope, text
-from lectern.operators import assemble, context
+from lectern.operators import assemble, context, scopes
 
 from .registry import query
-from .views import NOTEBOOKS, SCOPE_SQL, WS, Views, scoped_sql, tokens_sql, trim_sql
+from .views import DEFAULT_EXCLUDED, NOTEBOOKS, SCOPE_SQL, WS, Views, scoped_sql, tokens_sql, trim_sql
 
 
 @query("txt1_tokens", f"""
@@ -232,3 +232,37 @@ SELECT chunk_id, '#' || chunk_index || ' · paragraph · ' || token_count || ' t
 def flt9(v: Views):
     page = assemble.locator("page", page_from=F.col("chunk_index") + 1, page_to=F.col("chunk_index") + 2)
     return context.chunk_preview(v.chunks.withColumns({"kind": F.lit("paragraph"), "locator": page})).select("chunk_id", "header", "where", "preview")
+
+
+# Two rules for each customer: a folder of its own, and a glob over all notes.
+RULES_SQL = """
+SELECT 'c' || c_custkey AS notebook_id, 0 AS ord, 'own' AS source_id, 'notes/src' || (c_custkey % 20) || '/' || CASE c_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es/' ELSE '.fr' END AS base, NULL::VARCHAR AS suffix, c_custkey % 5 = 0 AS every FROM customer
+UNION ALL SELECT 'c' || c_custkey, 1, 'glob', 'notes', (c_custkey % 500) || '.md', false FROM customer"""
+
+
+def customer_rules(v: Views):
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("c"), key.cast("string")).alias("notebook_id")
+    lang = F.when(key % 3 == 0, "en").when(key % 3 == 1, "es/").otherwise(".fr")
+    none = F.array().cast("array<string>")
+    own = v.table("customer").select(
+        name, F.lit(0).alias("ord"), F.lit("own").alias("source_id"), F.concat(F.lit("notes/src"), (key % 20).cast("string"), F.lit("/"), lang).alias("path"),
+        F.lit(True).alias("recursive"), none.alias("include_globs"), F.when(key % 5 == 0, none).alias("exclude_globs"), F.lit(True).alias("enabled"),
+    )
+    number = (key % 500).cast("string")
+    globs = F.array(F.concat(F.lit("notes/src1/**/*"), number, F.lit(".md")), F.concat(F.lit("notes/**/en/*"), number, F.lit(".md")))
+    wide = v.table("customer").select(
+        name, F.lit(1).alias("ord"), F.lit("glob").alias("source_id"), F.lit("notes/").alias("path"), F.lit(True).alias("recursive"),
+        globs.alias("include_globs"), F.lit(None).cast("array<string>").alias("exclude_globs"), F.lit(True).alias("enabled"),
+    )
+    return own.unionByName(wide)
+
+
+@query("flt4_scopes_table", rf"""
+WITH r AS ({RULES_SQL}),
+p AS (SELECT doc_id, file_path, {DEFAULT_EXCLUDED} AS dropped FROM v_paths),
+m AS (SELECT doc_id, notebook_id, ord, source_id FROM p JOIN r ON starts_with(file_path, rtrim(base, '/') || '/') AND (every OR NOT dropped)
+    AND (r.suffix IS NULL OR (ends_with(file_path, r.suffix) AND (starts_with(file_path, 'notes/src1/') OR regexp_full_match(file_path, 'notes/(?:.*/)?en/[^/]*')))))
+SELECT doc_id, notebook_id, source_id FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, notebook_id ORDER BY ord) = 1""")
+def flt4_table(v: Views):
+    return scopes.in_scopes(v.paths, customer_rules(v)).select("doc_id", "notebook_id", "source_id")

@@ -51,13 +51,13 @@ NOTEBOOKS = (
 )
 
 _under = "starts_with(file_path, '{}')".format
-_default_excluded = r"(suffix(file_path, '.tmp') OR file_path = '*.tmp' OR starts_with(file_path, '.') OR regexp_matches(file_path, '(^|/)\.'))"
+DEFAULT_EXCLUDED = r"(suffix(file_path, '.tmp') OR file_path = '*.tmp' OR starts_with(file_path, '.') OR regexp_matches(file_path, '(^|/)\.'))"
 SCOPE_SQL = {
-    ("nb1", "s1", 1): f"{_under('notes/src1/')} AND NOT {_default_excluded}",
+    ("nb1", "s1", 1): f"{_under('notes/src1/')} AND NOT {DEFAULT_EXCLUDED}",
     ("nb1", "s2", 2): rf"{_under('notes/')} AND (regexp_full_match(file_path, '.*/en/[^/]*\.md') OR regexp_full_match(file_path, 'notes/src5/.*')) AND NOT suffix(file_path, '9.md')",
-    ("nb2", "all", 1): f"{_under('notes/')} AND NOT {_default_excluded}",
-    ("nb3", "flat", 1): f"{_under('notes/src2/fr/')} AND NOT contains(substr(file_path, 15), '/') AND NOT {_default_excluded}",
-    ("nb3", "two", 2): f"{_under('notes/src7/')} AND regexp_full_match(file_path, 'notes/src7/[^/]*/1[^/]*') AND NOT {_default_excluded}",
+    ("nb2", "all", 1): f"{_under('notes/')} AND NOT {DEFAULT_EXCLUDED}",
+    ("nb3", "flat", 1): f"{_under('notes/src2/fr/')} AND NOT contains(substr(file_path, 15), '/') AND NOT {DEFAULT_EXCLUDED}",
+    ("nb3", "two", 2): f"{_under('notes/src7/')} AND regexp_full_match(file_path, 'notes/src7/[^/]*/1[^/]*') AND NOT {DEFAULT_EXCLUDED}",
 }
 
 
