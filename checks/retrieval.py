@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern import udfs
 from lectern.operators import context, conversations, fusion, lexical, term_index, vector
 from lectern.plans.index import build_term_index
-from lectern.plans.search import chat_context, hybrid_search
+from lectern.plans.search import chat_context, hybrid_search, search_within
 from lectern.session import cut_lineage
 
 from .registry import query
@@ -332,6 +332,38 @@ def ret6(v: Views):
     return out.select("query_id", "chunk_id", "file_path", "bm25_score", "vector_score", "rrf_score", "rerank_score", "final_rank")
 
 
+# Every question put to every notebook, answered from that notebook's chunks with its own statistics.
+SQL_VIEWS["v_nq"] = "SELECT query_id * 3 + n AS query_id, query_id AS item, 'nb' || (n + 1) AS notebook_id, text FROM v_q, range(3) r(n)"
+SQL_VIEWS["v_nb_members"] = "SELECT DISTINCT notebook_id, chunk_id FROM v_scoped s JOIN (SELECT file_hash, chunk_id FROM v_chunks) USING (file_hash)"
+SQL_VIEWS["v_nb_corpus"] = "SELECT notebook_id, field, count(*) AS n_docs, avg(len(terms)) AS avg_len FROM v_lex_fields JOIN v_nb_members USING (chunk_id) GROUP BY ALL"
+SQL_VIEWS["v_nb_postings"] = "SELECT * FROM v_lex_postings JOIN v_nb_members USING (chunk_id) WHERE term IN (SELECT term FROM v_lex_all_terms)"
+SQL_VIEWS["v_nb_df"] = "SELECT notebook_id, field, term, count(*) AS df FROM v_nb_postings GROUP BY ALL"
+SQL_VIEWS["v_nb_lex"] = f"""SELECT q.query_id, chunk_id, round(sum(CASE field WHEN 'heading_text' THEN 2.0 ELSE 1.0 END * weight * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), {DIGITS}) AS score
+  FROM v_nq q JOIN v_lex_all_terms t ON t.query_id = q.item JOIN v_nb_postings p USING (notebook_id, term) JOIN v_nb_df USING (notebook_id, field, term) JOIN v_nb_corpus USING (notebook_id, field) GROUP BY ALL"""
+SQL_VIEWS["v_nb_lex_hits"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM v_nb_lex QUALIFY rank <= 50"
+SQL_VIEWS["v_nb_vec_hits"] = f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.query_id, chunk_id, round(list_dot_product(qvec::DOUBLE[], vec::DOUBLE[]), {DIGITS}) AS score FROM v_nq q JOIN v_qvec e ON e.query_id = q.item JOIN v_nb_members USING (notebook_id) JOIN v_vectors USING (chunk_id)) QUALIFY rank <= 50"""
+SQL_VIEWS["v_nb_hits"] = f"""SELECT query_id, notebook_id, chunk_id, file_hash, file_path, bm25_score, vector_score, CASE WHEN any_vec THEN rrf_score END AS rrf_score,
+  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN any_vec THEN rrf_score END DESC, CASE WHEN NOT any_vec THEN bm25_rank END, chunk_id) - 1 AS final_rank FROM (
+  SELECT query_id, chunk_id, b.score AS bm25_score, b.rank AS bm25_rank, w.score AS vector_score, count(w.rank) OVER (PARTITION BY query_id) > 0 AS any_vec,
+    round(coalesce(1.0 / (60 + b.rank), 0) + coalesce(1.0 / (60 + w.rank), 0), {DIGITS})::DOUBLE AS rrf_score
+  FROM v_nb_lex_hits b FULL JOIN v_nb_vec_hits w USING (query_id, chunk_id)) JOIN v_chunks c USING (chunk_id) JOIN v_nq USING (query_id) QUALIFY final_rank < 10"""
+
+
+@query("ret6_search_within", """
+WITH o AS (SELECT notebook_id, file_hash, min(file_path) AS other, list(file_path) AS every FROM v_scoped GROUP BY ALL)
+SELECT query_id, notebook_id, chunk_id, CASE WHEN list_contains(every, file_path) THEN file_path ELSE other END AS file_path, bm25_score, vector_score, rrf_score, final_rank
+FROM v_nb_hits JOIN o USING (notebook_id, file_hash)""")
+def ret6_within(v: Views):
+    each = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")
+    asked = v.q.select(F.col("query_id").alias("item"), "text", each).select(
+        (F.col("item") * 3 + F.col("n")).alias("query_id"), "item", F.concat(F.lit("nb"), (F.col("n") + 1).cast("string")).alias("notebook_id"), "text"
+    )
+    qvec = v.qvec.withColumnRenamed("query_id", "item").join(asked.select("query_id", "item"), "item").select("query_id", "qvec")
+    out = search_within(asked.drop("item"), v.chunks, v.scoped, v.vectors, qvec, postings=v.postings, model=FULL, digits=DIGITS)
+    return out.select("query_id", "notebook_id", "chunk_id", "file_path", "bm25_score", "vector_score", "rrf_score", "final_rank")
+
+
 SQL_VIEWS["v_rerank"] = f"""SELECT h.query_id, chunk_id, position, round(len(list_intersect(list_distinct({tokens_sql('lower(v_q.text)')}), {tokens_sql('lower(content)')})) / greatest(len(list_distinct({tokens_sql('lower(v_q.text)')})), 1), {DIGITS}) AS rerank_score
   FROM v_hits h JOIN v_q USING (query_id) WHERE position <= 20"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,17 +60,18 @@ def post_filter(hits: DataFrame, predicate: Column) -> DataFrame:
     return hits.filter(predicate)
 
 
-def display_path(hits: DataFrame, scoped_paths: DataFrame) -> DataFrame:
+def display_path(hits: DataFrame, scoped_paths: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """RET-5: the stored path while it is alive, in scope and of the same content, else the smallest such path.
 
     scoped_paths (file_path, file_hash): alive paths in scope. Aggregating by hash first keeps a text
-    with very many copies to one row.
+    with very many copies to one row. ``within`` names columns of both sides (a notebook) that must agree too.
     """
-    wanted = scoped_paths.join(broadcast_small(hits.select("file_hash").distinct()), "file_hash", "left_semi")
-    mine = hits.select("file_hash", "file_path").distinct()
-    kept = wanted.join(broadcast_small(mine), ["file_hash", "file_path"], "left_semi").distinct().withColumn("_kept", F.lit(True))
-    other = wanted.groupBy("file_hash").agg(F.min("file_path").alias("_other"))
-    out = hits.join(kept, ["file_hash", "file_path"], "left").join(other, "file_hash", "left")
+    by = ["file_hash", *within]
+    wanted = scoped_paths.join(broadcast_small(hits.select(*by).distinct()), by, "left_semi").select(*by, "file_path")
+    mine = hits.select(*by, "file_path").distinct()
+    kept = wanted.join(broadcast_small(mine), [*by, "file_path"], "left_semi").distinct().withColumn("_kept", F.lit(True))
+    other = wanted.groupBy(*by).agg(F.min("file_path").alias("_other"))
+    out = hits.join(kept, [*by, "file_path"], "left").join(other, by, "left")
     shown = F.when(F.col("_kept"), F.col("file_path")).otherwise(F.coalesce("_other", "file_path"))
     return out.withColumn("file_path", shown).drop("_kept", "_other")
 
