@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern import udfs
 from lectern.operators import context, conversations, fusion, lexical, term_index, vector
 from lectern.plans.index import build_term_index
+from lectern.plans import vectors as kept_vectors
 from lectern.plans.search import chat_context, hybrid_search, search_within
 from lectern.session import cut_lineage
 
@@ -212,6 +213,22 @@ def embedded_content(v: Views):
     return v.content.join(models, "file_hash", "left").withColumn("embedding_error", F.when(F.col("lang") == "es", "failed"))
 
 
+@query("vec5_vectors_table", """
+SELECT chunk_id, CASE WHEN suffix(heading_text, ' > es') OR suffix(heading_text, ' > de') THEN 2 ELSE 1 END::BIGINT AS batch,
+  least(len(content) + CASE WHEN suffix(heading_text, ' > de') THEN 2 ELSE 0 END, 2048)::BIGINT AS n FROM v_chunks""")
+def vec5_table(v: Views):
+    def lengths(texts: list[str]):
+        return [[len(t), 1.0] for t in texts]
+
+    root, chunks = f"{shared_folder(v)}/vectors", v.chunks
+    edited = chunks.withColumn("content", F.when(F.col("heading_text").endswith(" > de"), F.concat("content", F.lit(" x"))).otherwise(F.col("content")))
+    runs = [chunks.where(~F.col("heading_text").endswith(" > es")), edited, edited]  # the last one finds nothing to do
+    for batch, rows in enumerate(runs, 1):
+        kept_vectors.update_vectors(v.spark, root, rows, "m", lengths, batch)
+    out = kept_vectors.vectors_of(edited, kept_vectors.read_vectors(v.spark, root, "m"))
+    return out.select("chunk_id", "batch", F.round(F.get("vec", F.lit(0)) / F.get("vec", F.lit(1))).cast("bigint").alias("n"))
+
+
 @query("vec6_invalidate_embeddings", "SELECT file_hash, NULL::VARCHAR AS embedding_model_id, NULL::VARCHAR AS embedding_error FROM v_embedded WHERE embedding_model_id IS NOT NULL")
 def vec6(v: Views):
     return vector.invalidate_embeddings(embedded_content(v)).select("file_hash", "embedding_model_id", "embedding_error")

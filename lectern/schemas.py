@@ -42,6 +42,7 @@ CHUNKS = table(
 POSTINGS = table(field=TEXT, term=TEXT, chunk_id=TEXT, tf=INT, len=INT)
 DOC_STATS = table(field=TEXT, chunk_id=TEXT, len=INT)
 VECTORS = table(chunk_id=TEXT, model_id=TEXT, vec=ArrayType(FloatType()))
+KEPT_VECTORS = table(file_hash=TEXT, chunk_id=TEXT, text_hash=TEXT, vec=ArrayType(FloatType()), error=TEXT, model_id=TEXT, batch=LONG)
 HITS = table(
     query_id=LONG, chunk_id=TEXT, bm25_score=DOUBLE, vector_score=DOUBLE, rrf_score=DOUBLE, rerank_score=DOUBLE, final_rank=INT
 )
