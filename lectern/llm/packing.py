@@ -43,7 +43,7 @@ class WordIds:
     both ways). ``by_word=False`` encodes whole texts instead.
     """
 
-    def __init__(self, path: str, by_word: bool = True) -> None:
+    def __init__(self, path: str, by_word: bool = True, cached_bytes: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,7 +53,7 @@ class WordIds:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = dict(zip(".,", self._encode([".", ","])))
-        self.words = Recent(CACHED_BYTES)
+        self.words = Recent(CACHED_BYTES if cached_bytes is None else cached_bytes)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,7 +107,7 @@ class WordIds:
         return [b"".join(found) for found in ids]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text", cached_bytes: int | None = None) -> DataFrame:
     """(id, n_tokens, ids) of each document, the end id included; ids as little-endian integers of ``width`` bytes."""
     rows = docs.select(F.col(id_column).alias("id"), text_of(F.col(text_column)).alias("text"))
 
@@ -115,7 +115,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = kept(WordIds, tokenizer, by_word)
+        ids_of = kept(WordIds, tokenizer, by_word, cached_bytes)
         end, width = np.array([end_id], ids_of.dtype).tobytes(), ids_of.dtype.itemsize
         for part in slices(batches, "text"):
             ids = [x + end for x in ids_of(part.column("text").to_pylist())]
@@ -128,12 +128,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
     return rows.mapInArrow(giving_back(encode, keeps=True), out)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 2, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 2, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text", cached_bytes: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (unsigned 32-bit, little-endian).
 
-    Every sequence but the last is full, so only the last is ever padded.
+    Every sequence but the last is full, so only the last is ever padded. ``cached_bytes`` (``CACHED_BYTES``) of words are remembered by a
+    Python worker: fewer cost time and change no row.
     """
-    tokens = cut_lineage(tokenize(docs, tokenizer or default_tokenizer(), end_id, by_word, id_column, text_column))
+    tokens = cut_lineage(tokenize(docs, tokenizer or default_tokenizer(), end_id, by_word, id_column, text_column, cached_bytes))
     totals = tokens.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n_tokens").alias("n")).collect()  # one row per part
     sums = np.zeros(max((r.part for r in totals), default=-1) + 2, np.int64)
     for r in totals:
