@@ -18,6 +18,7 @@ from lectern.llm import dedup, mixing, near, packing, toxicity
 from lectern.llm.base import held_out, table
 from lectern.session import cut_lineage
 
+REMEMBERED_BYTES = 64 << 20  # of words in a worker that packs: its executor still holds what earlier stages took
 ORACLE_SQL = None  # learned scores, hashes and token ids: tests compare with brute force
 
 
@@ -39,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, cached_bytes=REMEMBERED_BYTES)
 
 
 STAGES = [
