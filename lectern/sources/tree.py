@@ -32,18 +32,38 @@ def _store(uri: str):
 Listing = dict[str, tuple[int, int]]  # path -> (time of its last change in ns, size)
 
 
+def _stem(path: str) -> str:
+    """The path without the ending of its name."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/{name.rpartition('.')[0] or name}"
+
+
 def changes_between(old: Listing, new: Listing) -> Iterator[tuple[str, str | None, str]]:
-    """(path, old_path, kind). A path that went and one that came with the same time and size, each the only such one, are a rename."""
+    """(path, old_path, kind). A path that went and one that came with the same time and size, each the only such one, are a rename.
+
+    Files written within one tick of the clock may share time and size; of several such, those are a rename that agree in folder
+    and name but for the ending, then those that agree in name, then one that is left on either side.
+    """
     came, went = defaultdict(list), defaultdict(list)
     for path in sorted(new.keys() - old.keys()):
         came[new[path]].append(path)
     for path in sorted(old.keys() - new.keys()):
         went[old[path]].append(path)
     for stat, paths in came.items():
-        if len(paths) == 1 and len(went.get(stat, ())) == 1:
-            yield paths[0], went.pop(stat)[0], "rename"
-        else:
-            yield from ((p, None, "create") for p in paths)
+        gone = went.get(stat, [])
+        for alike in (_stem, lambda p: p.rpartition("/")[2], lambda p: ""):
+            a, b = defaultdict(list), defaultdict(list)
+            for path in paths:
+                a[alike(path)].append(path)
+            for path in gone:
+                b[alike(path)].append(path)
+            pairs = [(a[k][0], b[k][0]) for k in a if len(a[k]) == 1 and len(b.get(k, ())) == 1]
+            yield from ((path, old_path, "rename") for path, old_path in pairs)
+            paired = {p for pair in pairs for p in pair}
+            paths, gone = [p for p in paths if p not in paired], [p for p in gone if p not in paired]
+        if stat in went:
+            went[stat] = gone
+        yield from ((p, None, "create") for p in paths)
     yield from ((p, None, "delete") for paths in went.values() for p in paths)
     yield from ((p, None, "modify") for p in sorted(new.keys() & old.keys()) if new[p] != old[p])
 

@@ -57,3 +57,22 @@ def test_a_batch_that_comes_again_tells_the_same(tmp_path):
     assert [list(reader.read(Shard(k, 10, 20))) for k in range(2)] == second
     reader.commit({"version": 20})
     assert os.listdir(f"{tmp_path}/state") == ["version=20"]
+
+
+def test_renames_of_files_of_one_tick_and_size_are_told_by_their_names():
+    """Small files written within one tick share time and size; each rename is told all the same."""
+    from lectern.sources.tree import changes_between
+
+    stat = (1_000, 7)
+    old = {f"a/{i}.md": stat for i in range(4)} | {"a/gone.md": stat, "a/x.md": (2_000, 7)}
+    new = {f"a/{i}.txt": stat for i in range(3)} | {"b/3.md": stat, "a/y.md": (2_000, 7)}
+    renames = [(f"a/{i}.txt", f"a/{i}.md", "rename") for i in range(3)] + [("b/3.md", "a/3.md", "rename"), ("a/y.md", "a/x.md", "rename")]
+    assert sorted(changes_between(old, new), key=str) == sorted([*renames, ("a/gone.md", None, "delete")], key=str)
+
+
+def test_files_that_no_name_tells_apart_stay_creations_and_deletions():
+    from lectern.sources.tree import changes_between
+
+    stat = (1_000, 7)
+    told = list(changes_between({"a/1.md": stat, "a/2.md": stat}, {"a/3.md": stat, "a/4.md": stat}))
+    assert sorted(kind for _, _, kind in told) == ["create", "create", "delete", "delete"]
