@@ -30,7 +30,7 @@ def test_shares_are_the_same_when_only_frequent_terms_are_broadcast(spark):
 
     def shares(**limits):
         out = {}
-        for row in lexical._shares(postings, gains, lexical.Bm25(), **limits).collect():
+        for row in lexical.shares_of(postings, gains, lexical.Bm25(), **limits).collect():
             held = out.setdefault(row["chunk_id"], {})
             for no, share in zip(row["terms"], row["shares"]):
                 held[no] = held.get(no, 0) + share
