@@ -7,6 +7,7 @@ import glob
 from pyspark.sql import functions as F
 
 from lectern.operators import lexical, term_index
+from lectern.plans import index
 
 
 def chunks_of(spark):
@@ -48,3 +49,29 @@ def test_a_small_bucket_is_written_by_one_task(spark, tmp_path, monkeypatch):
     term_index.write_term_index(postings, str(tmp_path), run_rows=2, min_buckets=2)
     assert term_index.read_postings(spark, str(tmp_path)).count() == postings.count()
     assert len(glob.glob(f"{tmp_path}/postings/bucket=*/*.parquet")) == 4
+
+
+def test_removed_ids_are_hashed_and_postings_not_sorted(spark):
+    postings = lexical.postings_table(chunks_of(spark))
+    removed = spark.createDataFrame([(f"c{i}",) for i in range(0, 70, 2)], "chunk_id string")
+    want = sorted(tuple(r) for r in postings.collect() if int(r.chunk_id[1:]) % 2)
+    columns = postings.columns
+    for limit, join in (({}, "BroadcastHashJoin"), ({"max_rows": 3}, "ShuffledHashJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            left = lexical.merge(postings, removed, postings.limit(0), **limit).select(columns)
+            plan = left._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, left.collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert join in plan and "SortMergeJoin" not in plan
+
+
+def test_postings_of_a_run_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_BYTES", 1_000)
+    files = spark.createDataFrame([(f"n/{i}.md", f"text {i} " + "word " * 80) for i in range(60)], "file_path string, text string")
+    files = files.select("file_path", F.sha2("text", 256).alias("file_hash"), F.lit(1).cast("long").alias("source_mtime"), F.length("text").cast("long").alias("file_size"), "text")
+    index.apply_batch(spark, str(tmp_path), files, 0, 0)
+    assert len(glob.glob(f"{tmp_path}/postings/batch=0/*.parquet")) >= 16  # the session shuffles into 4
+    tokens = spark.read.parquet(f"{tmp_path}/postings").where("field = 'content'").agg(F.sum("tf")).first()[0]
+    assert tokens == 60 * 82
