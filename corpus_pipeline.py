@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, cached_bytes=REMEMBERED_BYTES)
+    return packing.pack(docs, cached_bytes=REMEMBERED_BYTES, keeps=False)
 
 
 STAGES = [

@@ -132,21 +132,34 @@ def kept(make: Callable[..., Any], *args: Any) -> Any:
     return _KEPT[key]
 
 
+def trim() -> None:
+    """Memory that is no longer used goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def drop_kept() -> None:
+    """Lets go of what ``kept`` holds in this Python worker."""
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
 def giving_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same map over batches; what it no longer uses goes back to the system at its end, since idle Python workers live on.
     Unless it ``keeps`` an object itself, what an earlier map kept goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # this function is sent to the workers with copies of the globals it names: only functions of the module reach the worker's own
         if not keeps:
-            _KEPT.clear()
+            drop_kept()
         try:
             yield from fn(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            trim()
 
     return run

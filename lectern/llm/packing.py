@@ -128,11 +128,11 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
     return rows.mapInArrow(giving_back(encode, keeps=True), out)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 2, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text", cached_bytes: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 2, by_word: bool = True, id_column: str = "doc_id", text_column: str = "text", cached_bytes: int | None = None, keeps: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (unsigned 32-bit, little-endian).
 
     Every sequence but the last is full, so only the last is ever padded. ``cached_bytes`` (``CACHED_BYTES``) of words are remembered by a
-    Python worker: fewer cost time and change no row.
+    Python worker: fewer cost time and change no row. Workers keep tokenizer and words for a packing that follows, unless ``keeps`` is false.
     """
     tokens = cut_lineage(tokenize(docs, tokenizer or default_tokenizer(), end_id, by_word, id_column, text_column, cached_bytes))
     totals = tokens.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n_tokens").alias("n")).collect()  # one row per part
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
             )
 
     fields = StructType.fromDDL("start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary").fields
-    return tokens.mapInArrow(cut, StructType([StructField("doc_id", tokens.schema["id"].dataType), *fields]))
+    return tokens.mapInArrow(giving_back(cut, keeps), StructType([StructField("doc_id", tokens.schema["id"].dataType), *fields]))
 
 
 def padding(length: int, window: int = WINDOW) -> int:

@@ -9,6 +9,7 @@ import pytest
 from lectern.llm import packing, toxicity
 from lectern.llm.base import held_out
 from lectern.llm.shingles import shingle_sets
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 CLASH = ["_row", "_key", "_ROW_", "_doc", "key", "block", "shard", "kept", "n", "part", "a.b", "_id"]
@@ -121,3 +122,21 @@ def test_nothing_in_nothing_out(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_packing_that_keeps_nothing_frees_its_workers(spark):
+    from lectern.llm import packing
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(64)
+
+    def held(batches):
+        from lectern.llm import base
+
+        for batch in batches:
+            yield batch.to_pandas().assign(n=len(base._KEPT))[["n"]].pipe(pa.RecordBatch.from_pandas, preserve_index=False)
+
+    want = sorted(tuple(r) for r in packing.pack(docs).select("doc_id", "start", "length", "ids").collect())
+    packed = packing.pack(docs, keeps=False)
+    assert sorted(tuple(r) for r in packed.select("doc_id", "start", "length", "ids").collect()) == want
+    idle = spark.range(64).repartition(64).mapInArrow(held, "n long")
+    assert {r.n for r in idle.collect()} == {0}
