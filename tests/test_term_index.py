@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import lexical, term_index
-from lectern.plans.index import build_term_index
+from lectern.plans.index import build_dictionary, build_term_index
 
 TEXTS = ["the cat sat on the mat", "the dog chased the cat", "categories of the law", "", None, "the the the", "locomotives and locomotive engines"]
 
@@ -58,6 +58,26 @@ def test_a_search_opens_the_buckets_of_its_terms_alone(spark, chunks, tmp_path):
     assert buckets == {str(b) for b in term_index.buckets_of(asked)} and len(buckets) == 1
 
 
+def test_a_dictionary_is_written_without_postings(spark, chunks, tmp_path):
+    dictionary, _, _ = written(spark, chunks, tmp_path, run_rows=16, min_buckets=8)
+    root = tmp_path / "terms"
+    build_dictionary(chunks, str(root), run_rows=16, min_buckets=8)
+    alone = term_index.read_dictionary(spark, str(root))
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, dictionary.collect()))
+    assert [p.name for p in root.iterdir()] == ["dictionary"]
+
+
+def test_ids_of_a_term_are_written_as_differences(spark, chunks, tmp_path):
+    import pyarrow.parquet as pq
+
+    written(spark, chunks, tmp_path, min_buckets=2)
+    columns = [
+        meta.row_group(0).column(meta.schema.names.index("chunk_id"))
+        for meta in (pq.read_metadata(f) for f in (tmp_path / "index" / "postings").rglob("*.parquet"))
+    ]
+    assert columns and all(c.compression == "ZSTD" and "DELTA_BYTE_ARRAY" in c.encodings for c in columns)
+
+
 def test_empty_index_and_empty_queries(spark, chunks, tmp_path):
     dictionary, postings, corpus = written(spark, chunks.limit(0), tmp_path, min_buckets=2)
     queries = spark.createDataFrame([(1, "cat")], "query_id int, text string")
