@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
-from .base import LONG_WORD, Recent, giving_back, kept, slices, text_of
+from .base import LONG_WORD, Recent, arrow_bytes, giving_back, kept, slices, text_of
 
 WINDOW = 4096
+SENT_BYTES = 4 << 20  # of texts that a task sends its Python worker at once
+SLICE_CHARS = 500_000  # of text that a worker splits into words at once
 CACHED_BYTES = 160 << 20  # of words and their ids in one Python worker
 
 
@@ -117,7 +119,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids_of = kept(WordIds, tokenizer, by_word, cached_bytes)
         end, width = np.array([end_id], ids_of.dtype).tobytes(), ids_of.dtype.itemsize
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_CHARS):
             ids = [x + end for x in ids_of(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
@@ -134,7 +136,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     Every sequence but the last is full, so only the last is ever padded. ``cached_bytes`` (``CACHED_BYTES``) of words are remembered by a
     Python worker: fewer cost time and change no row. Workers keep tokenizer and words for a packing that follows, unless ``keeps`` is false.
     """
-    tokens = cut_lineage(tokenize(docs, tokenizer or default_tokenizer(), end_id, by_word, id_column, text_column, cached_bytes))
+    with arrow_bytes(docs.sparkSession, SENT_BYTES):
+        tokens = cut_lineage(tokenize(docs, tokenizer or default_tokenizer(), end_id, by_word, id_column, text_column, cached_bytes))
     totals = tokens.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n_tokens").alias("n")).collect()  # one row per part
     sums = np.zeros(max((r.part for r in totals), default=-1) + 2, np.int64)
     for r in totals:
@@ -143,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = int(begin[min(TaskContext.get().partitionId(), len(begin) - 1)])  # the last parts may be empty
-        for part in slices(batches, "ids"):
+        for part in slices(batches, "ids", SLICE_CHARS):
             n = part.column("n_tokens").to_numpy()
             first = at + np.cumsum(n) - n
             at += int(n.sum())

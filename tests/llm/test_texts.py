@@ -67,6 +67,19 @@ def test_pack_round_trip(spark, window):
     assert found == want
 
 
+def test_workers_that_tokenize_get_small_batches(spark, monkeypatch):
+    key, sizes, cut = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.cut_lineage
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "cut_lineage", lambda df: sizes.append(spark.conf.get(key)) or cut(df))
+    monkeypatch.setattr(packing, "SENT_BYTES", 1_000)
+    monkeypatch.setattr(packing, "SLICE_CHARS", 300)
+    rows = [(i, "some words, " * (i % 40)) for i in range(200)]
+    got = packing.pack(table(spark, rows, extra=False)).collect()
+    assert sizes == ["1000"] and spark.conf.get(key) == before
+    ids_of = packing.WordIds(packing.default_tokenizer())
+    assert sorted((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == [(i, len(ids_of([t])[0]) // 2 + 1) for i, t in rows]
+
+
 def test_pack_with_empty_partitions(spark):
     docs = table(spark, [(i, "a b c") for i in range(20)])
     for some in (docs.where("doc_id = 3").repartition(9, "doc_id"), docs.repartition(1).union(docs.limit(0).repartition(5))):
