@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,20 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: they go with the end of its write, not when the driver forgets them."""
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before) if before is not None else spark.conf.unset(FREE)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder; a lost executor loses none of it.
 
@@ -60,7 +76,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if folder is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-ckpt-"))
-    return df.checkpoint()
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, inside
 
 
 def kept(df: DataFrame, by: str | None = None, parts: int = 0) -> DataFrame:
@@ -73,8 +90,9 @@ def kept(df: DataFrame, by: str | None = None, parts: int = 0) -> DataFrame:
     spark = df.sparkSession
     base, name = shared_folder(spark), f"lectern_{uuid.uuid4().hex}"
     path = f"{base.rstrip('/')}/{name}" if base else tempfile.mkdtemp(prefix="lectern-kept-")
-    if by is None:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(parts, by).saveAsTable(name)
-    return spark.table(name)
+    with freed(spark):
+        if by is None:
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(parts, by).saveAsTable(name)
+        return spark.table(name)

@@ -83,3 +83,47 @@ def test_empty_index_and_empty_queries(spark, chunks, tmp_path):
     queries = spark.createDataFrame([(1, "cat")], "query_id int, text string")
     assert lexical.search_topk(queries, postings, corpus, 5, dictionary=dictionary).count() == 0
     assert lexical.search_topk(queries.limit(0), postings, corpus, 5, dictionary=dictionary).count() == 0
+
+
+def test_an_index_is_written_and_searched_in_passes(spark, chunks, tmp_path, monkeypatch):
+    """Each pass moves a share of the postings; the files and the hits are those of one pass."""
+    monkeypatch.setattr(term_index, "PASS_ROWS", 100)
+    dictionary, postings, corpus = written(spark, chunks, tmp_path, run_rows=16, min_buckets=8)
+    plain = lexical.build_postings(chunks)
+    assert sorted(map(tuple, postings.drop("bucket").collect())) == sorted(map(tuple, plain.collect()))
+    queries = spark.createDataFrame([(1, "cat"), (2, "the locomotive heading"), (3, "absent")], "query_id int, text string")
+    want = lexical.search_topk(queries, plain, corpus, 10, lexical.Bm25(digits=9))
+    for rare in (False, True):
+        if rare:
+            monkeypatch.setattr(lexical, "small_enough", lambda df, n, *_: n == lexical.QUERY_BLOCK)
+        got = lexical.search_topk(queries, postings, corpus, 10, lexical.Bm25(digits=9), dictionary=dictionary)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chunks_of_a_file_stay_together_in_the_slices_of_a_term(spark, tmp_path):
+    rows = [(f"{i:064x}:{n}", "common", "h", f"n/{i}.md") for i in range(30) for n in range(9)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string, heading_text string, file_path string")
+    _, postings, _ = written(spark, chunks, tmp_path, run_rows=50, min_buckets=16)
+    held = postings.where("term = 'common'").groupBy(F.substring_index("chunk_id", ":", 1).alias("f")).agg(F.countDistinct("bucket").alias("n")).collect()
+    assert len(held) == 30 and {r.n for r in held} == {1}
+    assert postings.where("term = 'common'").select("bucket").distinct().count() > 1
+
+
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    from lectern.session import FREE, cut_lineage, kept
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    assert cut_lineage(rows.repartition(3, "k")).count() == 1000
+    assert kept(rows.repartition(3, "k").sortWithinPartitions("id")).count() == 1000
+    until = time.time() + 20
+    while len(left := {f.split("_")[1] for f in files() - before}) > 2 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 2, left  # of the two counts, which are not written
+    assert spark.conf.get(FREE, "false") == "false"
