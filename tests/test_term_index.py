@@ -1,5 +1,7 @@
 """An index written by term: same hits, pruned buckets, hot terms in several of them."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,17 @@ def test_an_index_is_written_and_searched_in_passes(spark, chunks, tmp_path, mon
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_postings_come_to_their_chunks_once(spark, chunks, tmp_path):
+    """Not their shares, of which there is one for each query term that reaches a posting."""
+    dictionary, postings, corpus = written(spark, chunks, tmp_path, min_buckets=8)
+    numbered = spark.createDataFrame([("c", 0), ("ca", 1), ("cat", 2)], "term string, no int")
+    gains = lexical.term_gains(numbered, postings, corpus, lexical.Bm25(), dictionary).join(numbered.withColumnRenamed("term", "query_term"), "query_term")
+    shares = lexical.shares_of(postings, gains.drop("query_term").checkpoint(), lexical.Bm25(), by_term=True)
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk_id") == 1 and not re.search(r"Exchange hashpartitioning\(chunk_id#\d+, no#", plan), plan
+    assert shares.count() == 60
+
+
 def test_chunks_of_a_file_stay_together_in_the_slices_of_a_term(spark, tmp_path):
     rows = [(f"{i:064x}:{n}", "common", "h", f"n/{i}.md") for i in range(30) for n in range(9)]
     chunks = spark.createDataFrame(rows, "chunk_id string, content string, heading_text string, file_path string")
