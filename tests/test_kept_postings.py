@@ -87,3 +87,23 @@ def test_postings_of_a_run_are_dealt_by_size(spark, tmp_path, monkeypatch):
     assert len(glob.glob(f"{tmp_path}/postings/batch=0/*.parquet")) >= 16  # the session shuffles into 4
     tokens = spark.read.parquet(f"{tmp_path}/postings").where("field = 'content'").agg(F.sum("tf")).first()[0]
     assert tokens == 60 * 82
+
+
+def test_scores_of_all_pairs_are_not_grouped(spark):
+    """Equal to a sum over the shares, in blocks of queries too; pairs of chunks and queries are rows only once they are scored."""
+    chunks = chunks_of(spark)
+    postings, corpus = lexical.postings_table(chunks), lexical.corpus_stats(lexical.doc_stats(chunks))
+    asked = [(1, "w3 w3 w9"), (2, "only7 head1"), (3, ""), (None, "w3 nothing"), (2**60 + 1, "head0 md")]
+    queries = spark.createDataFrame(asked, "query_id bigint, text string")
+    hits = queries.select("query_id").crossJoin(chunks.select("chunk_id")).where("query_id is not null")
+    for model in (lexical.EXACT, lexical.Bm25()):
+        parts = lexical.contributions(queries, postings, corpus, hits, model).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("s"))
+        want = {(r.query_id, r.chunk_id, round(r.s, 9)) for r in parts.collect()}
+        for block in (1000, 2):
+            out = lexical.bm25(queries, postings, corpus, model, block=block)
+            got = [(r.query_id, r.chunk_id, round(r.score, 9)) for r in out.collect()]
+            assert len(got) == len(set(got)) and {g for g in got if g[0] is not None} == want
+            assert {g[1] for g in got if g[0] is None} == {r.chunk_id for r in postings.where("term = 'w3'").collect()} or model != lexical.EXACT
+    plan = lexical.bm25(queries, postings, corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0]
+    assert lexical.bm25(queries.where("query_id = 3"), postings, corpus).count() == 0
